@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graincart.llm import langid, quality, toxicity
+from graincart.llm import embeddings, langid, quality, sharding, simhash, toxicity, urls
 from graincart.llm.common import configure, fresh, id_remainder, read_table
 
 
+# The rules of the URL filter query.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -37,6 +41,39 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.drop("text").withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op6_quality_classifier, op9_toxicity)}
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return urls.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).drop("root")
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_sharding, op5_url_filters, op6_quality_classifier, op7_simhash_near_dedup, op8_embedding_near_dedup, op9_toxicity)}
+
+_URL_SQL = """
+WITH split AS (
+  SELECT page_id,
+         CASE WHEN url LIKE '%://%' THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages
+), rules(r_verdict, r_host, r_path) AS (VALUES RULES)
+SELECT page_id, host, path,
+       (SELECT max_by(r_host || r_path, length(r_host || r_path)) FROM rules WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)) AS rule,
+       coalesce((SELECT max_by(r_verdict, length(r_host || r_path)) FROM rules WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)), 'allow') AS verdict
+FROM split
+""".replace("RULES", ", ".join(map(str, URL_RULES)))
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": _URL_SQL}
