@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; texts may be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 1000
+#: The public tokenizer of the registered queries, by name.
+TOKENIZER = "word_bpe_49k.json"
 
 
 def configure(spark: SparkSession) -> None:

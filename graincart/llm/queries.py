@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graincart.llm import embeddings, langid, quality, sharding, simhash, toxicity, urls
-from graincart.llm.common import configure, fresh, id_remainder, read_table
+from graincart.llm import decontaminate, embeddings, langid, lmscore, packing, quality, sharding, simhash, toxicity, urls
+from graincart.llm.common import TOKENIZER, configure, id_remainder, read_table
 
 
 # The rules of the URL filter query.
@@ -23,6 +23,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, TOKENIZER))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lmscore.score_documents(docs).withColumn("score", F.round("score", 4))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.judge(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_id", "coverage")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,7 +78,7 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_sharding, op5_url_filters, op6_quality_classifier, op7_simhash_near_dedup, op8_embedding_near_dedup, op9_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_sharding, op4_lm_scoring, op5_url_filters, op6_quality_classifier, op7_simhash_near_dedup, op8_embedding_near_dedup, op9_toxicity, op10_benchmark_decontamination)}
 
 _URL_SQL = """
 WITH split AS (
@@ -76,4 +93,17 @@ SELECT page_id, host, path,
 FROM split
 """.replace("RULES", ", ".join(map(str, URL_RULES)))
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": _URL_SQL}
+_LM_SQL = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     tokens AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM split),
+     pairs AS (SELECT doc_id, CASE WHEN i > 1 THEN ws[i - 1] ELSE '' END AS a, ws[i] AS b FROM tokens),
+     uni AS (SELECT b, count(*) AS n FROM pairs GROUP BY b),
+     ctx AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
+     bi AS (SELECT a, b, count(*) AS n FROM pairs GROUP BY a, b),
+     scored AS (SELECT bi.a, bi.b, CASE WHEN bi.n >= 2 THEN log10(bi.n / ctx.n) ELSE log10(0.4) + log10(uni.n / (SELECT count(*) FROM pairs)) END AS s
+                FROM bi JOIN ctx ON ctx.a = bi.a JOIN uni ON uni.b = bi.b),
+     sums AS (SELECT doc_id, sum(s) AS s FROM pairs JOIN scored USING (a, b) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(s / len(ws), 4) AS score FROM split LEFT JOIN sums USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_lm_scoring": _LM_SQL, "op5_url_filters": _URL_SQL}
