@@ -154,6 +154,17 @@ def _blocks(benchmark: DataFrame, block_words: int) -> int:
     return int(total // (2 * block_words)) + 1  # a word has at least two characters with its space
 
 
+def _finder(shared):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [shared.value.best(t) for t in texts]
+            tiled = [[{"item_word": a, "doc_word": b, "words": n} for a, b, n in f[2]] for f in found]
+            yield pd.DataFrame({"item": pd.array([f[0] for f in found], dtype="Int64"), "coverage": [f[1] for f in found], "tiles": tiled})
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return run
+
+
 def judge(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
@@ -167,15 +178,8 @@ def judge(
         part = items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block) if blocks > 1 else items
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark([(r[0], r[1]) for r in part.collect()]))
 
-        def run(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.DataFrame]:
-            for texts in batches:
-                found = [shared.value.best(t) for t in texts]
-                tiled = [[{"item_word": a, "doc_word": b, "words": n} for a, b, n in f[2]] for f in found]
-                yield pd.DataFrame({"item": pd.array([f[0] for f in found], dtype="Int64"), "coverage": [f[1] for f in found], "tiles": tiled})
-
-        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
         names.append(f"_found{block}")
-        out = out.withColumn(names[-1], F.pandas_udf(run, kind).asNondeterministic()(F.col(text_col)))
+        out = out.withColumn(names[-1], F.pandas_udf(_finder(shared), kind).asNondeterministic()(F.col(text_col)))
     ranked = F.sort_array(F.array(*[F.struct(F.col(f"{n}.coverage").alias("coverage"), (-F.col(f"{n}.item")).alias("order"), F.col(f"{n}.tiles").alias("tiles")) for n in names]), asc=False)[0]
     out = out.withColumn("_best", ranked).drop(*names)
     found = {"item_id": -F.col("_best.order"), "coverage": F.col("_best.coverage"), "contaminated": F.col("_best.coverage") >= coverage, "tiles": F.col("_best.tiles")}
