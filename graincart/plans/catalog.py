@@ -15,7 +15,7 @@ from graincart.functions.encoding import chunk_end, varint_size
 from graincart.operators.ordering import reading_order, with_row_index
 from graincart.operators.sampling import reservoir_shuffle, weighted_interleave
 from graincart.operators.scratch import scratch_path
-from graincart.operators.sharding import append_in_place, decode_shards, random_epochs, round_robin, write_round_robin
+from graincart.operators.sharding import append_in_place, decode_shards, random_epochs, write_round_robin
 from graincart.sources.records import filesystem, register, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,7 +81,6 @@ def flipped(path: str, at: int) -> None:
 
 
 _DIGESTS = "SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents"
-_KEY = "CAST(key AS BIGINT) AS key"
 _NUMBERED = "SELECT c_custkey AS key, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer"
 
 
@@ -110,9 +109,9 @@ def rec_memory_shards(spark, sf_dir):
     return digests(decode_shards(spark.read.format("binaryFile").load(path + "/shard_*")))
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_day FROM orders")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_day FROM orders")
 def rec_typed_roundtrip(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_day"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_day"))
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in orders.schema)
     path = stored(orders.select(F.to_json(F.struct("*")).cast("binary").alias("value")), "typed")
     return scan(spark, path).select(F.from_json(F.col("value").cast("string"), kind).alias("r")).select("r.*")
