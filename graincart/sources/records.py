@@ -1,6 +1,6 @@
 """Spark data sources of the record format: ``records`` (batch and streaming, both ways), ``record_chunks``, ``record_blocks``.
 
-Options of the scan: ``prefix`` (shard), ``paths`` (a JSON list, in that order, instead of a folder),
+Options of the scan: ``prefix`` (shard), ``shardPaths`` (a JSON list, in that order, instead of a folder),
 ``corruption`` (error or recover), ``blockSize``, ``splitBytes``, ``shardOrder`` (name or numeric),
 ``metadata`` (adds shard_id, shard_order, chunk_begin, record_index; then a shard is one partition).
 Options of the sink: ``prefix``, ``startIndex``, ``compression`` (none or zstd), ``zstdLevel``,
@@ -54,7 +54,7 @@ class Settings:
     def __init__(self, options) -> None:
         get = lambda name, default: options.get(name) or options.get(name.lower()) or default
         self.path, self.prefix = get("path", ""), get("prefix", "shard")
-        self.paths = json.loads(get("paths", "[]"))
+        self.paths = json.loads(get("shardPaths", "[]"))
         self.block = check_block_size(int(get("blockSize", BLOCK)))
         self.corruption, self.order = get("corruption", "error"), get("shardOrder", "name")
         self.split = int(get("splitBytes", 128 << 20)) // self.block * self.block or self.block
