@@ -1,88 +1,226 @@
-"""Language-model scoring by stupid back-off, computed relationally.
+"""Language-model scoring by stupid back-off, as joins of blocks of n-grams with count tables.
 
 Words are runs of other than ASCII white space with A-Z lower-cased; a text is padded at its front.
-For each length k up to the order, a count table holds the k-grams of the whole corpus, keyed and
-partitioned by a 64-bit hash, with the hashes of their first and last k - 1 words. Scores of whole
-tables follow from joins of tables: an n-gram seen ``MIN_COUNT`` times or more scores its count
-over its context's; others score ``BACKOFF`` times their shorter gram; a word alone scores its count
-over all words. Only then are the n-grams of each document joined to the scores and summed.
-
-N-grams with more than a ``HOT_SHARE``-th of all occurrences number at most ``HOT_SHARE``; they are
-broadcast and never shuffled, which takes the skew out of the join on the others. Different n-grams
-with one 64-bit hash would share a count.
-
-Defined results: null texts and texts without a word have no words and a null score; rows with the
-same id and the same text give one row; the null id is an id of its own; an empty table gives an
-empty result; other columns are not returned.
+For each length k up to the order, a count table holds the k-grams of the whole corpus, and another
+one their contexts, keyed by 64-bit hashes. An n-gram seen ``MIN_COUNT`` times or more scores its
+count over its context's; another scores ``BACKOFF`` times its shorter gram; a word alone scores its
+count over all words. The score of a document is the mean logarithm over its words.
+
+The relations are kept as runs, not as one row per n-gram, which would be several times the text:
+
+1. documents become blocks of about ``BLOCK_WORDS`` words, written to the checkpoint folder;
+2. each block explodes its n-grams, counts them (so a hot n-gram is one entry of a block) and deals
+   the sorted hashes to hash ranges: one row per block, table and range, hashes as coded gaps;
+3. the rows of one range meet, and their sums are that range of the count table, which is joined to
+   the n-grams of every block at once: each row's hashes become the counts over the corpus;
+4. these rows meet their block again, where the scores of its n-grams are summed per document.
+
+A range holds about ``RANGE_ENTRIES`` entries at any size of corpus, as the number of ranges grows
+with the words. Different n-grams with one 64-bit hash would share a count.
+
+Defined results: null texts and texts without a word have no words and a null score; repeated rows
+are scored one by one; null ids are carried along; an empty table gives an empty result; other
+columns are not returned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graincart.llm.common import durable
 
 ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
-#: The most n-grams that are broadcast (two longs each).
-HOT_SHARE = 100_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of a block (a longer text is a block of its own) and entries of a hash range, in expectation.
+BLOCK_WORDS, RANGE_ENTRIES = 1 << 21, 1_000_000
+#: Words whose hashes a Python worker remembers.
+REMEMBERED = 1_000_000
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+
+
+class _Hashes(dict):
+    """Word -> 64-bit hash, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def word_hashes(text: bytes, known: _Hashes) -> np.ndarray:
+    words = text.lower().split()  # bytes: ASCII letters and white space only
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def words(text: Column) -> Column:
-    found = F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), r"[\x20\x09-\x0D]+")
-    return F.filter(found, lambda w: w != "")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
 
 
-def _padded(text: Column, k: int) -> Column:
-    return F.concat(F.array_repeat(F.lit(""), k - 1), words(text)) if k > 1 else words(text)
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit values, compressed byte plane by byte plane."""
+    import zstandard
 
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-def _hash(padded: Column, at: Column, length: int) -> Column:
-    return F.xxhash64(*[F.get(padded, at + i) for i in range(length)]) if length else F.lit(0).cast("long")
 
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
 
-def _each(padded: str, k: int, make) -> Column:
-    last = F.size(padded) - k
-    return F.explode(F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), make)))
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def count_table(docs: DataFrame, k: int, text_col: str = "text") -> DataFrame:
-    """(gram, prefix, suffix, n) of every k-gram of the corpus."""
-    padded = docs.select(_padded(F.col(text_col), k).alias("_w"))
-    make = lambda i: F.struct(_hash(F.col("_w"), i, k).alias("gram"), _hash(F.col("_w"), i, k - 1).alias("prefix"), _hash(F.col("_w"), i + 1, k - 1).alias("suffix"))
-    grams = padded.select(_each("_w", k, make).alias("g")).select("g.*")
-    return grams.groupBy("gram").agg(F.min("prefix").alias("prefix"), F.min("suffix").alias("suffix"), F.count("*").alias("n"))
+def _gapped(run: np.ndarray) -> np.ndarray:
+    return np.diff(run, prepend=np.zeros(1, np.uint64))
 
 
-def gram_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, text_col: str = "text") -> DataFrame:
-    """(gram, n, score) of every ``order``-gram of the corpus; score is a logarithm to base 10."""
-    table = durable(count_table(docs, 1, text_col))
-    total = table.agg(F.sum("n")).first()[0] or 1
-    scores = table.select("gram", "n", F.log10(F.col("n") / F.lit(total)).alias("score"))
-    for k in range(2, order + 1):
-        table = durable(count_table(docs, k, text_col))
-        context = durable(table.groupBy("prefix").agg(F.sum("n").alias("seen")))
-        shorter = scores.select(F.col("gram").alias("suffix"), F.col("score").alias("below"))
-        backed = F.when(F.col("n") >= min_count, F.log10(F.col("n") / F.col("seen"))).otherwise(F.log10(F.lit(backoff)) + F.col("below"))
-        scores = durable(table.join(context, "prefix").join(shorter, "suffix").select("gram", "n", backed.alias("score")))
-    return scores
+def grams(hashes: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(table, key at each word) of texts laid end to end; table 2k - 1: contexts of the k-grams, 2k: k-grams."""
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    padding, last = np.uint64(0), hashes
+    yield 2, last
+    with np.errstate(over="ignore"):
+        for k in range(2, order + 1):
+            context = np.r_[np.zeros(min(1, len(last)), np.uint64), last[:-1]]
+            context[starts] = padding
+            # another function of each length, so that no table's keys follow from another's
+            context = _mixed(context + _MIX[2] * np.uint64(k))
+            yield 2 * k - 1, context
+            last = _mixed(context * _MIX[2] + hashes)
+            yield 2 * k, last
+            padding = _mixed(_mixed(np.full(1, padding + _MIX[2] * np.uint64(k))) * _MIX[2])[0]
+
+
+def _decoded(vocabulary: bytes, codes: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_unpacked(vocabulary), dtype=np.uint64)[_unpacked(codes).astype(np.int64)], _unpacked(sizes).astype(np.int64)
+
+
+def _blocks(block_words: int):
+    """Rows of (id, text) -> blocks: ids, words of each text, and the texts' word hashes as codes of a vocabulary."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        known, number = _Hashes(), TaskContext.get().partitionId() << 32
+        ids, held, total = [], [], 0
+
+        def block():
+            nonlocal ids, held, total, number
+            vocabulary, codes = np.unique(np.concatenate(held), return_inverse=True)
+            values = pa.concat_arrays(ids)
+            row = [
+                pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.array([total]), pa.array([_packed(np.array([len(h) for h in held], np.uint64))], pa.binary()),
+                pa.array([_packed(_gapped(vocabulary))], pa.binary()), pa.array([_packed(codes.astype(np.uint64))], pa.binary()),
+            ]
+            ids, held, total, number = [], [], 0, number + 1
+            return pa.RecordBatch.from_arrays(row, ["block", "ids", "words", "sizes", "vocabulary", "codes"])
+
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).cast(pa.binary())):
+                ids.append(batch.column(0).slice(i, 1))
+                held.append(word_hashes(text.as_py() or b"", known))
+                total += len(held[-1])
+                if total >= block_words or len(held) >= block_words // 16:
+                    yield block()
+        if held:
+            yield block()
+
+    return run
+
+
+def _dealt(order: int, ranges: int):
+    """Blocks -> (block, cell, keys, counts): a sorted run of distinct keys; a cell is one hash range of one table."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        bounds = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                hashes, sizes = _decoded(row["vocabulary"], row["codes"], row["sizes"])
+                for table, keys in grams(hashes, sizes, order):
+                    runs, counts = np.unique(keys, return_counts=True)
+                    cuts = np.r_[0, np.searchsorted(runs, bounds), len(runs)]
+                    some = np.flatnonzero(np.diff(cuts))
+                    parts = [slice(cuts[r], cuts[r + 1]) for r in some]
+                    columns = [
+                        pa.array([row["block"]] * len(some), pa.int64()), pa.array(table * ranges + some, pa.int64()),
+                        pa.array([_packed(_gapped(runs[s])) for s in parts], pa.binary()), pa.array([_packed(counts[s]) for s in parts], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "cell", "keys", "counts"])
+
+    return run
+
+
+def _summed(table):
+    """The rows of one cell, with the counts of their keys over all of them in place of their own."""
+    import pyarrow as pa
+
+    runs = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+    counts = np.concatenate([_unpacked(x) for x in table.column("counts").to_pylist()])
+    merged, at = np.unique(np.concatenate(runs), return_inverse=True)
+    totals = np.zeros(len(merged), np.uint64)
+    np.add.at(totals, at, counts)
+    ends = np.cumsum([len(r) for r in runs])[:-1]
+    seen = [_packed(totals[a]) for a in np.split(at, ends)]
+    return pa.table({"block": table.column("block"), "cell": table.column("cell"), "seen": pa.array(seen, pa.binary())})
+
+
+def _scored(order: int, min_count: int, backoff: float, total: int, ranges: int):
+    """A block and the counts of its keys -> (_id, n_words, score) of its documents."""
+
+    def run(block, replies):
+        import pyarrow as pa
+
+        (row,) = block.drop_columns(["ids"]).to_pylist()
+        hashes, sizes = _decoded(row["vocabulary"], row["codes"], row["sizes"])
+        cells: dict[int, list] = {}
+        for cell, seen in sorted(zip(replies.column("cell").to_pylist(), replies.column("seen").to_pylist(), strict=True)):
+            cells.setdefault(cell // ranges, []).append(_unpacked(seen))
+        score = context = None
+        for table, keys in grams(hashes, sizes, order):
+            runs, at = np.unique(keys, return_inverse=True)
+            counts = np.concatenate(cells[table]) if table in cells else np.zeros(0, np.uint64)
+            if len(counts) != len(runs):
+                raise ValueError(f"block {row['block']}, table {table}: {len(counts)} counts for {len(runs)} keys")
+            seen = counts[at].astype(np.float64)
+            if table == 2:
+                score = np.log10(seen / total)
+            elif table % 2:
+                context = seen
+            else:
+                score = np.where(seen >= min_count, np.log10(seen / context), np.log10(backoff) + score)
+        full = sizes > 0
+        means = np.zeros(len(sizes))
+        if full.any():
+            means[full] = np.add.reduceat(score, (np.cumsum(sizes) - sizes)[full]) / sizes[full]
+        ids = pa.concat_arrays([c.flatten() for c in block.column("ids").chunks])
+        return pa.table({"_id": ids, "n_words": pa.array(sizes), "score": pa.array(means, mask=~full)})
+
+    return run
 
 
 def score_documents(
-    docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text", hot_share: int = HOT_SHARE
-) -> DataFrame:
-    """(id, n_words, score) of each document; score is the mean over its words."""
-    scores = gram_scores(docs, order, min_count, backoff, text_col)
-    total = scores.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * F.lit(hot_share) > F.lit(total)
-    frequent = F.broadcast(scores.where(hot).select("gram", "score"))
-    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), _padded(F.col(text_col), order).alias("_w"))
-    grams = base.select("_id", "_text", _each("_w", order, lambda i: _hash(F.col("_w"), i, order)).alias("gram"))
-    met = grams.join(frequent, "gram").groupBy("_id", "_text").agg(F.sum("score").alias("part"))
-    rare = grams.join(frequent, "gram", "left_anti").join(scores.where(~hot).select("gram", "score").hint("merge"), "gram").groupBy("_id", "_text").agg(F.sum("score").alias("part"))
-    rows = base.select("_id", "_text", (F.size("_w") - (order - 1)).cast("long").alias("words"))
-    none = F.lit(None)
-    parts = rows.select("*", none.cast("double").alias("part")).union(met.union(rare).select("_id", "_text", none.cast("long"), "part"))
-    summed = parts.groupBy("_id", "_text").agg(F.max("words").alias("n_words"), F.sum("words").alias("all"), F.sum("part").alias("sum"))
-    return summed.select(F.col("_id").alias(id_col), "n_words", F.when(F.col("all") > 0, F.col("sum") / F.col("all")).alias("score"))
+    docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text",
+    block_words: int = BLOCK_WORDS, range_entries: int = RANGE_ENTRIES,
+) -> DataFrame:
+    """(id, n_words, score) of each row; score is the mean logarithm to base 10 over its words."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    blocks = durable(rows.mapInArrow(_blocks(block_words), f"block long, ids array<{kind}>, words long, sizes binary, vocabulary binary, codes binary"))
+    total = blocks.agg(F.sum("words")).first()[0] or 0
+    ranges = 1 + total // range_entries
+    dealt = blocks.select("block", "sizes", "vocabulary", "codes").mapInArrow(_dealt(order, ranges), "block long, cell long, keys binary, counts binary")
+    replies = dealt.groupBy("cell").applyInArrow(_summed, "block long, cell long, seen binary")
+    scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(order, min_count, backoff, max(1, total), ranges), f"_id {kind}, n_words long, score double")
+    return scored.withColumnRenamed("_id", id_col)

@@ -30,6 +30,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return lmscore.score_documents(docs).withColumn("score", F.round("score", 4))
 
