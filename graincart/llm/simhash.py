@@ -226,17 +226,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: the one with the smallest id; of rows that share it, any one.
+    """One document of each group of near copies (``jaccard``): the one with the smallest id; of rows that share it, any one.
 
     Rows without an id stay only as the one row of a group in which no row has an id.
     """
-    groups = durable(near_duplicates(docs, id_col, text_col))
+    from graincart.llm.jaccard import near_copies, text_key
+
+    rooted = durable(near_copies(docs, id_col, text_col))
+    names = rooted.groupBy("root").agg(F.min("_id").alias("component_id"))
+    groups = durable(rooted.join(names, "root").withColumnRenamed("_id", id_col))
     keep = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     kept = docs.join(keep, id_col, "left_semi")
     repeated = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col)
     single = kept.join(repeated, id_col, "left_anti")
     several = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-    nameless = groups.where(F.col("component_id").isNull()).select("fingerprint", "root").distinct()
-    unnamed = fresh(docs.where(F.col(id_col).isNull()), "_fp", "_root").withColumn("_fp", fingerprint(F.col(text_col))).join(nameless.select("fingerprint", F.col("root").alias("_root")), F.expr("lower(lpad(hex(_fp), 16, '0'))") == F.col("fingerprint"))
+    nameless = groups.where(F.col("component_id").isNull()).select("_key", F.col("root").alias("_root")).distinct()
+    unnamed = fresh(docs.where(F.col(id_col).isNull()), "_key", "_root").withColumn("_key", text_key(F.col(text_col))).join(nameless, "_key")
     rest = unnamed.dropDuplicates(["_root"]).select(*docs.columns)
     return single.select(*docs.columns).union(several.select(*docs.columns)).union(rest)
