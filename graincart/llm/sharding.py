@@ -1,9 +1,14 @@
 """Sharding by balanced label propagation under capacity quotas.
 
 Linked documents share a link key (for the registered query: a digest of equal texts). Labels are
-shards. In each round every key with several members counts its members by shard; members elsewhere
-want to move to the key's fullest shard, as all their neighbours there are links that would no
-longer be cut. A shard admits moves up to its quota: requests are counted by shard of origin and
+shards. They start so that links are whole where quotas let them: the keys of at least 1 / ``LARGE``
+of a quota, whose number is bounded, are dealt largest first, a key that fits to the shard with the
+most room and a larger one to as many whole shards as it fills; all members of any other key start
+in one shard, drawn by the room left. In each round every key with several members counts its members by shard; members elsewhere
+want to move to the key's fullest shard with room, as all their neighbours there are links that
+would no longer be cut; members of a shard where the key has more already, with room or without,
+stay, so a key of more rows than a quota fills one shard after the other. Rounds end when no fewer
+links are cut. A shard admits moves up to its quota: requests are counted by shard of origin and
 target, and where they exceed the room each is granted with the share that fits, drawn by a hash of
 the row, so no task sees all requests of a shard. Documents without a link have no wish; they fill
 up what is left, which is what lets the sizes come out even.
@@ -21,12 +26,16 @@ name.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graincart.llm.common import durable
 
-SHARDS, ROUNDS = 24, 4
+SHARDS = 24
+#: Keys of at least this part of a quota are dealt by a plan; there are at most ``SHARDS * LARGE`` such keys.
+LARGE = 64
 #: Rows of a rank bucket, in expectation, and the most buckets of a shard (their counts go to the driver).
 BUCKET_ROWS, MOST_BUCKETS = 20_000, 4_000
 
@@ -54,25 +63,63 @@ def _quotas(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
-def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def _plan(keys: list[tuple[str, int]], quota: list[int]) -> tuple[list[tuple[str, int, float, float]], list[int]]:
+    """(key, shard, from, to) with the part of the key's members that starts in the shard, and the room left."""
+    room, plan = list(quota), []
+    for key, n in sorted(keys, key=lambda k: (-k[1], k[0])):
+        left = n
+        while left > 0:
+            shard = max(range(len(room)), key=lambda s: (room[s], -s))
+            part = min(left, room[shard]) or left
+            plan.append((key, shard, (n - left) / n, (n - left + part) / n))
+            room[shard] = max(0, room[shard] - part)
+            left -= part
+    return plan, room
+
+
+def _started(linked: DataFrame, quota: list[int]) -> DataFrame:
+    """``linked`` (uid, key, n) with the shard it starts in."""
+    spark = linked.sparkSession
+    large = linked.where(F.col("n") * LARGE >= max(1, min(quota))).select("key", "n").distinct().collect()
+    plan, room = _plan([(r.key, r.n) for r in large], quota)
+    weight = [x + 1 for x in room]
+    ends = [sum(weight[: s + 1]) for s in range(len(weight))]
+    drawn = F.pmod(F.xxhash64("key", F.lit(8)), F.lit(ends[-1]))
+    other = F.coalesce(*[F.when(drawn < end, F.lit(s)) for s, end in enumerate(ends)])
+    planned = F.broadcast(spark.createDataFrame(plan, "_key string, _shard int, _from double, _to double"))
+    at = F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(1 << 30)) / (1 << 30)
+    met = linked.withColumn("_at", at).join(planned, F.expr("key = _key and _at >= _from and _at < _to"), "left")
+    return met.select("uid", "key", F.coalesce("_shard", other).cast("int").alias("shard"))
+
+
+def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """``rows`` (uid, key, n: the key's members, ...) with a column ``shard`` that keeps links together.
 
-    The quota of a shard holds in expectation after each round; ``balance`` makes it exact.
+    The quota of a shard holds in expectation after each round; ``balance`` makes it exact. Without
+    ``rounds``, rounds go on until one cuts no fewer links than the one before.
     """
     spark = rows.sparkSession
-    linked = rows.where("n > 1").select("uid", "key").withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(shards)).cast("int"))
-    linked = durable(linked)
-    total, members = rows.count(), linked.count()
-    if not members:
+    linked = rows.where("n > 1").select("uid", "key", "n")
+    total = rows.count()
+    if linked.isEmpty():
         return rows.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(shards)).cast("int"))
     quota = _quotas(total, shards)
-    for turn in range(rounds):
+    linked = durable(_started(linked, quota))
+    kept_before, before = -1, linked
+    for turn in itertools.count() if rounds is None else range(rounds):
         sizes = {r.shard: r.n for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         open_shards = [s for s in range(shards) if sizes.get(s, 0) < quota[s]]
-        held = linked.groupBy("key", "shard").agg(F.count("*").alias("n"))
+        held = durable(linked.groupBy("key", "shard").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("key", "shard")))
+        kept = held.agg(F.sum(F.col("n").cast("decimal(38,0)") * F.col("n"))).first()[0]
+        if rounds is None and kept <= kept_before:
+            linked = before
+            break
+        kept_before, before = kept, linked
         # the fullest shard of each key that still has room; ties by a hash of the key, so that keys spread
-        wish = held.where(F.col("shard").isin(open_shards)).groupBy("key").agg(F.max(F.struct("n", F.xxhash64("key", "shard").alias("h"), "shard")).alias("best"))
-        wanted = linked.join(durable(wish.select("key", F.col("best.shard").alias("target"))), "key", "left").withColumn("target", F.coalesce("target", "shard"))
+        wish = held.where(F.col("shard").isin(open_shards)).groupBy("key").agg(F.max(F.struct("n", "h", "shard")).alias("best"))
+        # only from parts that rank below it: who is gathered in a full shard stays there
+        moves = held.join(wish, "key").where(F.struct("n", "h", "shard") < F.col("best")).select("key", "shard", F.col("best.shard").alias("target"))
+        wanted = linked.join(durable(moves), ["key", "shard"], "left").withColumn("target", F.coalesce("target", "shard"))
         wanted = durable(wanted)
         asks: dict[int, int] = {}
         leaves: dict[int, int] = {}
@@ -120,7 +167,7 @@ def balance(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     return stays.unionByName(dealt.withColumns({"slot": slot.cast("long"), "shard": shard.cast("int")}).drop("rank"))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every document; links are equal texts."""
     data = F.encode(F.col(text_col), "utf-8")
     rows = docs.select(
