@@ -3,59 +3,79 @@
 Documents become token ids and an end id, cut into pieces of at most ``CAPACITY`` ids. Pieces are
 dealt to islands of a few thousand. An island's individuals are packings; crossover injects whole
 well-filled bins of one parent into the other, removes the bins that hold duplicates of them, and
-puts the displaced pieces back by best fit; mutation dissolves the emptiest bins. Between epochs each
-island's elite bins migrate to the next island in a ring. As islands hold different pieces, a bin
-travels as its pattern, the multiset of its lengths, and settles where pieces of those lengths are.
-Then bins that are not full enough are dissolved and their pieces meet again in fewer islands, until
-one island is left; so the number of loose bins does not grow with the number of islands.
+puts the displaced pieces back by best fit; mutation dissolves the emptiest bins. An island stops at
+the least number of bins that its tokens could fill, or after ``PATIENCE`` generations without a
+better packing. Between epochs each island's elite bins migrate to the next island in a ring. As
+islands hold different pieces, a bin travels as its pattern, the multiset of its lengths, and
+settles where pieces of those lengths are.
+
+Then islands merge: each keeps its bins, but for the emptiest ones (those below ``FULL``, up to half
+of its tokens and pieces, one at least), whose pieces meet again in at most half as many islands,
+until one island is left. So the loose tokens halve with each turn, no task holds more than an
+island, and the number of part-filled bins does not grow with the number of islands.
 
 Defined results: null texts are empty and give one piece, the end id; repeated rows are pieces of
-their own; null ids are carried along; an empty table gives an empty result.
+their own; null ids are carried along; of equally good packings the first found stays, and all
+random choices are seeded; an empty table gives an empty result; ``pack`` keeps the other columns of
+its items, of any name, and its result columns replace columns of the same name.
 """
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graincart.llm.common import durable
+from graincart.llm.common import durable, fresh
 
 CAPACITY, END_ID = 4096, 1
-#: Pieces of an island in expectation; individuals and generations of an epoch; bins that migrate.
-ISLAND, POPULATION, GENERATIONS, ELITE = 3000, 3, 4, 16
+#: Pieces of an island, in expectation; bins that migrate from it.
+ISLAND, ELITE = 3000, 16
+#: Individuals of an island; generations of an epoch at most, and without a better packing.
+POPULATION, GENERATIONS, PATIENCE = 8, 120, 30
 #: A bin with at least this share filled is kept when islands merge.
 FULL = 0.998
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+#: Words whose ids a Python worker remembers, in each of two generations.
+REMEMBERED = 400_000
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that never joins text across white space, word by word from memory."""
+    """Ids of texts by a tokenizer that never joins text across white space, word by word from memory.
+
+    Memory has two generations: words of a full young one become the old one, and return to the
+    young one when they are met again, so frequent words stay and rare ones go.
+    """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [self._split(t) for t in texts]
-        known = self.known
-        missing = list({w for words in split for w in words if w not in known})
-        extra = {}
+        words = set().union(*split)
+        if len(self.young) + len(words) > self.remembered:
+            self.old, self.young = self.young, {}
+        known = self.young
+        missing = words - known.keys()
+        if self.old:
+            again = {w: b for w in missing if (b := self.old.get(w)) is not None}
+            known.update(again)
+            missing -= again.keys()
         if missing:
-            ids = (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))
-            extra = dict(zip(missing, ids, strict=True))
-        if len(known) + len(extra) <= REMEMBERED:
-            known.update(extra)
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        both = {w: b for words in split for w in set(words) if (b := known.get(w)) is not None} | extra
-        return [b"".join(map(both.__getitem__, words)) for words in split]
+            new = list(missing)
+            ids = (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
+            known.update((w, struct.pack(f"<{len(i)}I", *i)) for w, i in zip(new, ids, strict=True))
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
     @staticmethod
     def _split(text: str) -> list[str]:
@@ -66,20 +86,28 @@ class Encoder:
         return text.split()
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, kept from task to task."""
+    if path not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every document; ``tokenizer``: a file's path, or its name among the public ones."""
     end = np.array([end_id], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        import os
-
         import pyarrow as pa
 
         import public_tokenizers
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer if os.path.sep in tokenizer else str(public_tokenizers.path(tokenizer)))
+        encode = encoder(tokenizer if os.path.sep in tokenizer else str(public_tokenizers.path(tokenizer))).encode
         for batch in batches:
             texts, begin = batch.column(1).to_pylist(), 0
             while begin < len(texts):
@@ -88,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     size += len(texts[stop] or "")
                     stop += 1
                 which, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encoder.encode([t or "" for t in texts[begin:stop]]), begin):
+                for i, ids in enumerate(encode([t or "" for t in texts[begin:stop]]), begin):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
@@ -172,42 +200,66 @@ def _settle(patterns: list[tuple[int, ...]], lengths: list[int]) -> list[list[in
     return out
 
 
-def evolve(lengths: list[int], start: list[list[int]] | None = None, immigrants: list[tuple[int, ...]] = (), capacity: int = CAPACITY, seed: int = 0, population: int = POPULATION, generations: int = GENERATIONS) -> Packing:
-    """The best packing that an island finds; ``start``: the bins it had reached before."""
+def evolve(
+    lengths: list[int], start: list[list[int]] | None = None, immigrants: list[tuple[int, ...]] = (), capacity: int = CAPACITY, seed: int = 0,
+    population: int = POPULATION, generations: int = GENERATIONS, patience: int = PATIENCE, history: list[str] | None = None,
+) -> Packing:
+    """The best packing that an island finds; ``start``: the bins it had reached before; ``history``: takes notes."""
     rng = np.random.default_rng(seed)
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    people = []
+    note = history.append if history is not None else lambda _: None
+    floor = -(-sum(lengths) // capacity)
+    people: list[Packing] = []
+    rank = lambda p: (len(p.bins), -p.fitness())
     for k in range(population):
         one = Packing(lengths, capacity)
         if k == 0 and start:
             for b in start:
                 one.add(b)
-        elif k == 0:
-            one.insert(order)
+        elif k == (1 if start else 0):
+            one.insert(sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)))
         else:  # nearly by length: another order of similar pieces
             noise = rng.uniform(0.85, 1.15, len(lengths))
             one.insert(sorted(range(len(lengths)), key=lambda i: -lengths[i] * noise[i]))
         people.append(one)
+        if len(one.bins) <= floor:
+            note("floor")
+            return one
+    people.sort(key=rank)
     settled = _settle(list(immigrants), lengths) if immigrants else []
-    floor = -(-sum(lengths) // capacity)
+    idle = 0
     for turn in range(generations):
-        people.sort(key=lambda p: -p.fitness())
-        if len(people[0].bins) <= floor:
+        if len(people[0].bins) <= floor or idle >= patience:
             break
-        a, b = (people[0], people[1 + int(rng.integers(len(people) - 1))]) if len(people) > 1 else (people[0], people[0])
-        if turn % 2:
-            a, b = b, a
+        # two parents, better ones more often
+        i, j = sorted(int(x) for x in rng.choice(len(people), 2, replace=False)) if len(people) > 1 else (0, 0)
+        a, b = (people[i], people[j]) if turn % 2 else (people[j], people[i])
         if turn == 0 and settled:
-            injected = settled
+            a, injected = people[0], settled
+            note("migrants")
         else:
-            well = [k for k, load in enumerate(b.loads) if load >= 0.97 * capacity and len(b.bins[k]) > 1]
+            well = [k for k, load in enumerate(b.loads) if load >= 0.97 * capacity and len(b.bins[k]) > 1] or list(range(len(b.bins)))
             injected = [b.bins[k] for k in rng.permutation(well)[: max(1, len(well) // 3)]]
+            note("crossover")
         child = _cross(a, injected, rng, mutate=max(2, len(a.bins) // 50))
-        people[-1 if child.fitness() >= people[-1].fitness() else 0 if child.fitness() > people[0].fitness() else -1] = max(child, people[-1], key=lambda p: p.fitness())
-    return max(people, key=lambda p: (-len(p.bins), p.fitness()))
+        idle += 1
+        if rank(child) < rank(people[-1]) and rank(child) not in map(rank, people):
+            if rank(child) < rank(people[0]):
+                idle = 0
+                note("better")
+            people[-1] = child
+            people.sort(key=rank)
+    return people[0]
+
 
+_STATE = "uid long, island long, length long, bin int, rises boolean, pattern array<int>"
 
-_STATE = "uid long, island long, length long, bin int, pattern array<int>"
+
+def rising(loads: list[int], sizes: list[int], capacity: int, full: float = FULL) -> list[int]:
+    """Bins whose pieces go on when islands merge: the emptiest not full, up to half of the tokens and of the pieces, one at least."""
+    order = sorted((k for k, load in enumerate(loads) if load < full * capacity), key=lambda k: (loads[k], k))
+    tokens = np.cumsum([loads[k] for k in order])
+    pieces_ = np.cumsum([sizes[k] for k in order])
+    return order[: max(1, int(((2 * tokens <= sum(loads)) & (2 * pieces_ <= sum(sizes))).sum()))]
 
 
 def _epoch(capacity: int, seed: int):
@@ -216,7 +268,7 @@ def _epoch(capacity: int, seed: int):
         own = group[group["uid"].notna()].sort_values("uid")
         lengths = own["length"].astype(int).tolist()
         if not lengths:
-            return pd.DataFrame({"uid": [], "island": [], "length": [], "bin": [], "pattern": []})
+            return pd.DataFrame({"uid": [], "island": [], "length": [], "bin": [], "rises": [], "pattern": []})
         start = None
         if own["bin"].notna().all():
             bins: dict[int, list[int]] = {}
@@ -225,12 +277,14 @@ def _epoch(capacity: int, seed: int):
             start = list(bins.values())
         immigrants = [tuple(map(int, p)) for p in group.loc[group["uid"].isna(), "pattern"]]
         best = evolve(lengths, start, sorted(immigrants), capacity, seed=seed * 1_000_003 + island)
-        of = np.zeros(len(lengths), np.int32)
+        of, up = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), bool)
         for k, b in enumerate(best.bins):
             of[b] = k
-        out = pd.DataFrame({"uid": own["uid"].astype("int64").to_numpy(), "island": island, "length": lengths, "bin": of, "pattern": None})
+        for k in rising(best.loads, [len(b) for b in best.bins], capacity):
+            up[best.bins[k]] = True
+        out = pd.DataFrame({"uid": own["uid"].astype("int64").to_numpy(), "island": island, "length": lengths, "bin": of, "rises": up, "pattern": None})
         elite = sorted((k for k, b in enumerate(best.bins) if len(b) > 1), key=lambda k: (-best.loads[k], k))[:ELITE]
-        moving = pd.DataFrame({"uid": pd.array([None] * len(elite), dtype="Int64"), "island": island, "length": 0, "bin": 0, "pattern": [[lengths[i] for i in best.bins[k]] for k in elite]})
+        moving = pd.DataFrame({"uid": pd.array([None] * len(elite), dtype="Int64"), "island": island, "length": 0, "bin": 0, "rises": False, "pattern": [[lengths[i] for i in best.bins[k]] for k in elite]})
         return pd.concat([out.astype({"uid": "Int64"}), moving], ignore_index=True) if elite else out
 
     return run
@@ -238,37 +292,29 @@ def _epoch(capacity: int, seed: int):
 
 def pack(items: DataFrame, capacity: int = CAPACITY, island: int = ISLAND) -> DataFrame:
     """``items`` (with ``length``) plus sequence_id and offset: no sequence over ``capacity``, offsets gapless."""
-    keyed = durable(items.withColumn("uid", F.monotonically_increasing_id()))
+    boxed = fresh(items, "sequence_id", "offset").select(F.struct(F.col("*")).alias("row"), F.col("length").cast("long").alias("length"))
+    keyed = durable(boxed.withColumn("uid", F.monotonically_increasing_id()))
     whole = keyed.where(F.col("length") >= capacity).select("uid", (F.col("uid") * 2 + 1).alias("sequence_id"))
     loose = keyed.where(F.col("length") < capacity).select("uid", "length")
-    done, turn = [whole], 0
+    placed, islands, turn = whole, None, 0
     while True:
-        count = loose.count()
-        islands = max(1, -(-count // island))
+        total = loose.agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).first()
+        if not total.n:
+            break
+        # an island has pieces for some bins, and there are at most half as many as in the turn before
+        wanted = min(-(-total.n // island), total.tokens // (4 * capacity))
+        islands = max(1, wanted if islands is None else min(wanted, islands // 2))
         state = loose.select("uid", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(islands)).alias("island"), "length", F.lit(None).cast("int").alias("bin"), F.lit(None).cast("array<int>").alias("pattern"))
         state = durable(state.groupBy("island").applyInPandas(_epoch(capacity, 2 * turn), _STATE))
         if islands > 1:  # elites go to the next island in the ring, and a second epoch follows
             moved = state.withColumn("island", F.when(F.col("uid").isNull(), (F.col("island") + 1) % islands).otherwise(F.col("island")))
             state = durable(moved.groupBy("island").applyInPandas(_epoch(capacity, 2 * turn + 1), _STATE))
-        placed = state.where("uid is not null").select("uid", "length", "island", "bin")
         name = ((F.lit(turn).cast("long") * (1 << 34) + F.col("island")) * (1 << 20) + F.col("bin")) * 2
+        stays = F.col("uid").isNotNull() & (~F.col("rises") if islands > 1 else F.lit(True))
+        placed = placed.unionByName(state.where(stays).select("uid", name.alias("sequence_id")))
         if islands == 1:
-            done.append(placed.select("uid", name.alias("sequence_id")))
             break
-        loads = placed.groupBy("island", "bin").agg(F.sum("length").alias("load"))
-        judged = durable(placed.join(loads, ["island", "bin"]))
-        done.append(judged.where(F.col("load") >= FULL * capacity).select("uid", name.alias("sequence_id")))
-        rest = judged.where(F.col("load") < FULL * capacity).select("uid", "length")
-        if rest.count() > 0.8 * count:  # bins do not get fuller: keep what is there
-            done.append(judged.where(F.col("load") < FULL * capacity).select("uid", name.alias("sequence_id")))
-            break
-        loose, turn = rest, turn + 1
-    placed = done[0]
-    for d in done[1:]:
-        placed = placed.unionByName(d)
-    joined = keyed.join(placed, "uid")
+        loose, turn = state.where("uid is not null and rises").select("uid", "length"), turn + 1
     # a sequence holds at most ``capacity`` pieces, as each has at least one id
-    from pyspark.sql import Window
-
     before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1))
-    return joined.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long")).drop("uid")
+    return keyed.join(placed, "uid").select("row.*", "sequence_id", F.coalesce(before, F.lit(0)).cast("long").alias("offset"))
