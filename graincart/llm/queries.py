@@ -97,13 +97,19 @@ FROM split
 _LM_SQL = r"""
 WITH split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
      tokens AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM split),
-     pairs AS (SELECT doc_id, CASE WHEN i > 1 THEN ws[i - 1] ELSE '' END AS a, ws[i] AS b FROM tokens),
-     uni AS (SELECT b, count(*) AS n FROM pairs GROUP BY b),
-     ctx AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
-     bi AS (SELECT a, b, count(*) AS n FROM pairs GROUP BY a, b),
-     scored AS (SELECT bi.a, bi.b, CASE WHEN bi.n >= 2 THEN log10(bi.n / ctx.n) ELSE log10(0.4) + log10(uni.n / (SELECT count(*) FROM pairs)) END AS s
-                FROM bi JOIN ctx ON ctx.a = bi.a JOIN uni ON uni.b = bi.b),
-     sums AS (SELECT doc_id, sum(s) AS s FROM pairs JOIN scored USING (a, b) GROUP BY doc_id)
+     grams AS (SELECT doc_id, i, CASE WHEN i > 2 THEN ws[i - 2] ELSE '' END AS a, CASE WHEN i > 1 THEN ws[i - 1] ELSE '' END AS b, ws[i] AS c FROM tokens),
+     uni AS (SELECT c, count(*) AS n FROM grams GROUP BY c),
+     bi AS (SELECT b, c, count(*) AS n FROM grams GROUP BY b, c),
+     tri AS (SELECT a, b, c, count(*) AS n FROM grams GROUP BY a, b, c),
+     total AS (SELECT count(*) AS words, count(*) FILTER (WHERE i = 1) AS texts FROM grams),
+     scored AS (SELECT tri.a, tri.b, tri.c,
+                       CASE WHEN tri.n > 1 THEN log10((tri.n - 1) / ((CASE WHEN tri.b = '' THEN texts ELSE bi2.n END) - 1))
+                            WHEN bi.n > 1 THEN log10(0.4) + log10((bi.n - 1) / ((CASE WHEN tri.b = '' THEN texts ELSE uni1.n END) - 1))
+                            WHEN uni.n > 1 THEN 2 * log10(0.4) + log10((uni.n - 1) / (words - 1))
+                            ELSE 3 * log10(0.4) + log10(1 / words) END AS s
+                FROM tri JOIN uni ON uni.c = tri.c JOIN bi ON bi.b = tri.b AND bi.c = tri.c
+                LEFT JOIN uni AS uni1 ON uni1.c = tri.b LEFT JOIN bi AS bi2 ON bi2.b = tri.a AND bi2.c = tri.b, total),
+     sums AS (SELECT doc_id, sum(s) AS s FROM grams JOIN scored USING (a, b, c) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(s / len(ws), 4) AS score FROM split LEFT JOIN sums USING (doc_id)
 """
 
