@@ -22,6 +22,7 @@ its items, of any name, and its result columns replace columns of the same name.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -42,22 +43,62 @@ POPULATION, GENERATIONS, PATIENCE = 8, 120, 30
 #: A bin with at least this share filled is kept when islands merge.
 FULL = 0.998
 #: Words whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+
+
+# How the tokenizer whose words ``Encoder`` prepares itself cuts a text, and its normalisation.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letters that stand for the UTF-8 bytes of the Latin-1 characters: themselves where printable, else those from 256 on."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
+def _latin(text: str) -> bool:
+    """Whether all characters are Latin-1's: these have no marks to compose, and Python and the tokenizer lower-case them alike."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Encoder:
     """Ids of texts by a tokenizer that never joins text across white space, word by word from memory.
 
     Memory has two generations: words of a full young one become the old one, and return to the
-    young one when they are met again, so frequent words stay and rare ones go.
+    young one when they are met again, so frequent words stay and rare ones go. New words of Latin-1
+    letters are cut and put in the model's byte letters here, and given to the bare model many at a
+    time, if the tokenizer is of the kind that ends its words with a suffix; others are left to it.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        told = json.loads(self.tokenizer.to_str())
+        # what only the tokenizer itself may see: its special tokens, and white space to Python that is none to it
+        self.special = [t["content"].lower() for t in told["added_tokens"]]
+        self.odd = [*self.special, *_SEPARATORS]
+        cut = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        normal = [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])]
+        suffix = told["model"].get("end_of_word_suffix")
+        self.bare = None
+        if suffix and normal == _NORMAL and [c.get("type") for c in cut] == ["Split", "ByteLevel"] and cut[0]["pattern"] == {"Regex": _CUT} and cut[0]["invert"] and not (cut[1]["add_prefix_space"] or cut[1]["use_regex"]):
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.cut, self.letters = regex.compile(_CUT), _byte_letters()
+            vocabulary = self.bare.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -72,17 +113,44 @@ class Encoder:
             known.update(again)
             missing -= again.keys()
         if missing:
-            new = list(missing)
-            ids = (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
-            known.update((w, struct.pack(f"<{len(i)}I", *i)) for w, i in zip(new, ids, strict=True))
+            self._learn(list(missing))
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        if text.isascii():
-            text = text.lower()  # as the tokenizer does; other letters are left to it
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the tokenizer
-            return "".join("\n" if c.isspace() and not "\x1c" <= c <= "\x1f" else c for c in text).split("\n")
+    def _learn(self, words: list[str]) -> None:
+        if self.bare:
+            rest = []
+            for at in range(0, len(words), 20_000):
+                some = words[at : at + 20_000]
+                whole = " ".join(some).lower()
+                if not _latin(whole) or any(c in whole for c in self.odd):
+                    plain = [w for w in some if _latin(w) and not any(c in w.lower() for c in self.odd)]
+                    rest += list(set(some).difference(plain))
+                    some = plain
+                rest += [] if self._learn_plain(some) else some
+            words = rest
+        ids = (e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+        self.young.update((w, struct.pack(f"<{len(i)}I", *i)) for w, i in zip(words, ids, strict=True))
+
+    def _learn_plain(self, words: list[str]) -> bool:
+        """Whether the words could be learned from the bare model."""
+        parts = [[w] if w.isalpha() else self.cut.findall(w) for w in map(str.lower, words)]
+        flat = " ".join(" ".join(p) for p in parts if p).translate(self.letters | {32: " "})
+        ids = np.array(self.bare.encode_batch_fast([flat], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        sizes = np.array([len(p) for p in parts])
+        if len(ends) != sizes.sum() or (len(ids) and ends[-1:] != len(ids)):  # a part without an own end
+            return False
+        stops = (4 * np.r_[0, ends][np.cumsum(sizes)]).tolist()
+        data = ids.tobytes()
+        self.young.update(zip(words, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+        return True
+
+    def _split(self, text: str) -> list[str]:
+        if _latin(text):  # lower-cased as the tokenizer does; other letters are left to it
+            lowered = text.lower()
+            text = text if any(c in lowered for c in self.special) else lowered
+        if any(c in text for c in _SEPARATORS):
+            return "".join("\n" if c.isspace() and c not in _SEPARATORS else c for c in text).split("\n")
         return text.split()
 
 

@@ -189,6 +189,13 @@ def test_encoder_remembers_and_forgets():
     small = packing.Encoder(path, remembered=25)
     assert [small.encode([t])[0] for t in texts * 2] == packing.Encoder(path).encode(texts * 2)
     assert len(small.young) <= 25 or not small.old
+    from tokenizers import Tokenizer
+
+    whole, encoder, rng = Tokenizer.from_file(path), packing.Encoder(path), np.random.default_rng(6)
+    strange = ["<|ENDOFTEXT|> a<|endoftext|>b \u00c9", "J\u030c a\x1c\x1db\x85c\xa0d \u0130 \u03a3\u0391\u03a3", "it's 12\u00b3 \u00aa\u00ba \u00b5 \xad\x00\x7f </w>"]
+    strange += ["".join(map(chr, rng.integers(1, top, 80))) for top in (128, 256, 0x340, 0x2100) for _ in range(50)]
+    assert encoder.bare is not None
+    assert encoder.encode(strange) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in strange]
 
 
 # --- 3 sharding
