@@ -2,7 +2,7 @@
 
 Words are runs of other than ASCII white space with A-Z lower-cased; a text is padded at its front.
 A count table for each length k up to the order holds the k-grams of the whole corpus, keyed by
-64-bit hashes; none is left out. A word is scored by what the rest of the corpus says: its own
+hashes; none is left out. A word is scored by what the rest of the corpus says: its own
 occurrence is taken from every count. So a k-gram that occurs ``MIN_COUNT`` times or more elsewhere
 scores count over count of its context (the k - 1 words before; of the padding alone: the texts);
 another scores ``BACKOFF`` times its shorter gram; a word alone its count over all words, and
@@ -22,7 +22,9 @@ A range holds about ``RANGE_ENTRIES`` entries at any size of corpus. A block is
 ``2 ** STEP_BITS`` ranges of a table. Where more are needed, the rows of as many blocks as there
 are ranges are first merged, range by range, into runs that are as long as a block's and are dealt
 on to finer ranges; the counts come back the same way. So the rows grow in proportion to the words.
-Different n-grams with one 64-bit hash would share a count.
+
+Hashes have ``SPARE_BITS`` more bits than it takes to number the words of the corpus, up to 64:
+about one n-gram in ``2 ** SPARE_BITS`` shares its hash, and so its count, with another.
 
 Defined results: null texts and texts without a word have no words and a null score; repeated rows
 are scored one by one; null ids are carried along; an empty table gives an empty result; other
@@ -44,6 +46,8 @@ ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
 BLOCK_WORDS, RANGE_ENTRIES = 1 << 21, 1_000_000
 #: Ranges of a table that one row set is dealt to at a time, as a power of two.
 STEP_BITS = 10
+#: Bits of a hash beyond those that number the corpus' words.
+SPARE_BITS = 24
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 1_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -163,13 +167,13 @@ def _blocks(block_words: int):
     return run
 
 
-def _cut(runs: np.ndarray, table: int, have: int, bits: int) -> list[tuple[int, slice]]:
-    """(cell, part) of a sorted run whose keys share ``have`` bits; a cell is the table and the first ``bits`` bits."""
+def _cut(runs: np.ndarray, table: int, have: int, bits: int, width: int) -> list[tuple[int, slice]]:
+    """(cell, part) of a sorted run of keys of ``width`` bits that share ``have``; a cell is the table and the first ``bits``."""
     if not len(runs):
         return []
-    prefix = int(runs[0]) >> (64 - have) if have else 0
+    prefix = int(runs[0]) >> (width - have) if have else 0
     firsts = (prefix << (bits - have)) + np.arange(1 << (bits - have), dtype=np.uint64)
-    cuts = np.r_[np.searchsorted(runs, firsts << np.uint64(64 - bits)) if bits else [0], len(runs)]
+    cuts = np.r_[np.searchsorted(runs, firsts << np.uint64(width - bits)) if bits else [0], len(runs)]
     return [((table << 48) + int(firsts[r]), slice(cuts[r], cuts[r + 1])) for r in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
@@ -183,7 +187,7 @@ def _rows(source: int, runs: np.ndarray, counts: np.ndarray, parts: list[tuple[i
     return pa.RecordBatch.from_arrays(columns, ["source", "cell", "keys", "counts"])
 
 
-def _dealt(order: int, bits: int):
+def _dealt(order: int, bits: int, width: int):
     """Blocks -> (source, cell, keys, counts): sorted runs of distinct keys."""
 
     def run(batches):
@@ -191,8 +195,8 @@ def _dealt(order: int, bits: int):
             for row in batch.to_pylist():
                 hashes, sizes = _decoded(row["vocabulary"], row["codes"], row["sizes"])
                 for table, keys in enumerate(grams(hashes, sizes, order), 1):
-                    runs, counts = np.unique(keys, return_counts=True)
-                    yield _rows(row["block"], runs, counts, _cut(runs, table, 0, bits))
+                    runs, counts = np.unique(keys >> np.uint64(64 - width), return_counts=True)
+                    yield _rows(row["block"], runs, counts, _cut(runs, table, 0, bits, width))
 
     return run
 
@@ -225,14 +229,14 @@ def _merged(table):
     return pa.table({"cell": table.column("cell").slice(0, 1), "keys": [_packed(_gapped(runs))], "counts": [_packed(totals)], "members": pa.array([members], kind)})
 
 
-def _finer(have: int, bits: int):
+def _finer(have: int, bits: int, width: int):
     """Merged runs -> rows of finer cells."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 runs = np.cumsum(_unpacked(row["keys"]), dtype=np.uint64)
-                yield _rows(row["node"], runs, _unpacked(row["counts"]), _cut(runs, row["cell"] >> 48, have, bits))
+                yield _rows(row["node"], runs, _unpacked(row["counts"]), _cut(runs, row["cell"] >> 48, have, bits, width))
 
     return run
 
@@ -248,7 +252,7 @@ def _returned(node, replies):
     return pa.table({"source": pa.array([m["source"] for m in row["members"]], pa.int64()), "cell": pa.array([row["cell"]] * len(back), pa.int64()), "seen": pa.array(back, pa.binary())})
 
 
-def _counted(rows: DataFrame, sources: int, steps: list[int], before: int = 0) -> DataFrame:
+def _counted(rows: DataFrame, sources: int, steps: list[int], width: int, before: int = 0) -> DataFrame:
     """(source, cell, seen) of (source, cell, keys, counts): counts of the keys over all rows.
 
     ``steps``: the bits of a cell at each step; the rows' cells are those of the first. ``sources``
@@ -261,12 +265,12 @@ def _counted(rows: DataFrame, sources: int, steps: list[int], before: int = 0) -
     bundled = rows.withColumn("bundle", F.pmod(F.xxhash64("source"), F.lit(bundles)))
     merged = bundled.groupBy("cell", "bundle").applyInArrow(_merged, "cell long, keys binary, counts binary, members array<struct<source:long,places:binary>>")
     nodes = durable(merged.withColumn("node", F.monotonically_increasing_id()))
-    finer = nodes.select("node", "cell", "keys", "counts").mapInArrow(_finer(*steps[:2]), "source long, cell long, keys binary, counts binary")
-    replies = _counted(finer, bundles, steps[1:], steps[0])
+    finer = nodes.select("node", "cell", "keys", "counts").mapInArrow(_finer(*steps[:2], width), "source long, cell long, keys binary, counts binary")
+    replies = _counted(finer, bundles, steps[1:], width, steps[0])
     return nodes.select("node", "cell", "members").groupBy("node").cogroup(replies.groupBy("source")).applyInArrow(_returned, kind)
 
 
-def _scored(order: int, min_count: int, backoff: float, total: int, texts: int):
+def _scored(order: int, min_count: int, backoff: float, total: int, texts: int, width: int):
     """A block and the counts of its keys -> (_id, n_words, score) of its documents."""
 
     def run(block, replies):
@@ -281,7 +285,7 @@ def _scored(order: int, min_count: int, backoff: float, total: int, texts: int):
         starts = (np.cumsum(sizes) - sizes)[full]
         score, context = np.full(len(hashes), np.log10(1 / total)), np.full(len(hashes), total, np.float64)
         for k, keys in enumerate(grams(hashes, sizes, order), 1):
-            runs, at = np.unique(keys, return_inverse=True)
+            runs, at = np.unique(keys >> np.uint64(64 - width), return_inverse=True)
             counts = np.concatenate(cells[k]) if k in cells else np.zeros(0, np.uint64)
             if len(counts) != len(runs):
                 raise ValueError(f"block {row['block']}, {k}-grams: {len(counts)} counts for {len(runs)} keys")
@@ -311,9 +315,10 @@ def score_documents(
     found = blocks.agg(F.sum("words").alias("words"), F.sum("texts").alias("texts"), F.count("*").alias("blocks")).first()
     total = max(1, found.words or 0)
     bits = (total // range_entries).bit_length()
+    width = min(64, total.bit_length() + SPARE_BITS)
     parts = max(1, -(-bits // step_bits))
     steps = [-(-bits * (i + 1) // parts) for i in range(parts)]
-    dealt = blocks.select("block", "sizes", "vocabulary", "codes").mapInArrow(_dealt(order, steps[0]), "source long, cell long, keys binary, counts binary")
-    replies = _counted(dealt, found.blocks, steps)
-    scored = blocks.groupBy("block").cogroup(replies.groupBy("source")).applyInArrow(_scored(order, min_count, backoff, total, found.texts or 0), f"_id {kind}, n_words long, score double")
+    dealt = blocks.select("block", "sizes", "vocabulary", "codes").mapInArrow(_dealt(order, steps[0], width), "source long, cell long, keys binary, counts binary")
+    replies = _counted(dealt, found.blocks, steps, width)
+    scored = blocks.groupBy("block").cogroup(replies.groupBy("source")).applyInArrow(_scored(order, min_count, backoff, total, found.texts or 0, width), f"_id {kind}, n_words long, score double")
     return scored.withColumnRenamed("_id", id_col)
