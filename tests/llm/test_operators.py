@@ -366,17 +366,84 @@ def test_embedding_links_against_brute_force(spark):
 # --- 10 decontamination
 
 
+def _greedy(item, doc, size):
+    """Greedy tiling by its definition: every pair of places, again for each tile."""
+    item_free, doc_free, out = [True] * len(item), [d != 0 for d in doc], []
+    while True:
+        best = None
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while a + n < len(item) and b + n < len(doc) and item_free[a + n] and doc_free[b + n] and item[a + n] == doc[b + n]:
+                    n += 1
+                if n >= size and (best is None or n > best[2]):
+                    best = a, b, n
+        if best is None:
+            return out
+        out.append(best)
+        a, b, n = best
+        item_free[a : a + n], doc_free[b : b + n] = [False] * n, [False] * n
+
+
+def test_tiling_against_its_definition():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        kinds = int(rng.integers(2, 6))
+        item, doc, size = rng.integers(1, kinds, int(rng.integers(1, 25))), rng.integers(0, kinds, int(rng.integers(0, 40))), int(rng.integers(1, 6))
+        assert decontaminate.tiles(item.astype(np.uint64), doc.astype(np.uint64), size) == _greedy(item.tolist(), doc.tolist(), size)
+
+
+def test_repeated_words_cost_no_more():
+    import time
+
+    begin = time.perf_counter()
+    assert decontaminate.tiles(np.full(2_000, 7, np.uint64), np.full(20_000, 7, np.uint64)) == [(0, 0, 2_000)]
+    assert time.perf_counter() - begin < 1
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(60)]
+    items = [(int(i) if i else None, " ".join(rng.choice(words, int(n)))) for i, n in zip([7, 3, 3, 0, 5, 9, 8], [30, 12, 12, 9, 2, 40, 1], strict=True)]
+    texts = []
+    for k in range(120):
+        parts = [list(rng.choice(words, int(rng.integers(0, 30))))]
+        for _ in range(int(rng.integers(0, 4))):
+            source = items[int(rng.integers(len(items)))][1].split()
+            a = int(rng.integers(len(source)))
+            parts.append(source[a : a + int(rng.integers(1, 25))] + list(rng.choice(words, 3)))
+        texts.append((k, " ".join(w for i in rng.permutation(len(parts)) for w in parts[i])))
+    texts += [(200, texts[0][1]), (201, "W7 " * 5000 + items[0][1])]  # a copy, a long one
+    number = lambda t: np.array([decontaminate.word_hash(w) for w in decontaminate.words_of(t)], np.uint64)
+    rows = decontaminate.judge(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        best = (0.0, None)
+        for i, t in items:
+            item = number(t)
+            if i is not None:
+                doc = number(r.text)
+                got = decontaminate.tiles(item, doc, min(5, len(item))) if r.doc_id == 201 else _greedy(item.tolist(), doc.tolist(), min(5, len(item)))
+                best = max(best, (sum(n for *_, n in got) / len(item), -i if got else None), key=lambda x: (x[0], x[1] if x[1] is not None else -99))
+        assert r.coverage == pytest.approx(best[0]) and r.item_id == (None if best[1] is None else -best[1]), r
+        assert r.contaminated == (best[0] >= 0.5 - 1e-9)
+        split = decontaminate.words_of(r.text)
+        assert any(all(split[t.doc_word : t.doc_word + t.words] == decontaminate.words_of(x)[t.item_word : t.item_word + t.words] for t in r.tiles) for i, x in items if i == r.item_id or not r.tiles)
+
+
 def test_reordered_passages_are_found(spark, odd):
     item = "the quick brown fox jumps over one lazy dog while seven old owls watch from their dark tree"
     words = item.split()
-    texts = [(1, "so " * 50 + item), (2, " ".join(words[9:] + ["and"] + words[:9])), (3, " ".join(words[:6])), (4, None), (5, " ".join(sorted(words)))]
-    table = spark.createDataFrame([(*t, "clash") for t in texts], "doc_id long, text string, item_id string")
-    bench = spark.createDataFrame([(9, item), (10, None), (11, "two words")], "item_id long, text string")
-    for size in (2_000_000, 4):
-        rows = {r.doc_id: r for r in decontaminate.judge(table, bench, block_words=size).collect()}
-        assert {i for i, r in rows.items() if r.contaminated} == {1, 2} and rows[1].coverage == 1 and rows[3].coverage == pytest.approx(6 / 18)
-        assert rows[1].item_id == 9 and rows[4].item_id is None
+    texts = [(1, "so " * 50 + item), (2, " ".join(words[9:] + ["and"] + words[:9])), (3, " ".join(words[:6])), (4, None), (5, " ".join(sorted(words))), (6, "only two words here"), (7, "")]
+    table = spark.createDataFrame([(*t, "clash", "kept") for t in texts], "doc_id long, text string, item_id string, `a.b` string")
+    bench = spark.createDataFrame([(9, item), (10, None), (11, "two words"), (None, item)], "item_id long, text string")
+    found = decontaminate.judge(table, bench)
+    rows = {r.doc_id: r for r in found.collect()}
+    assert sorted(found.columns) == sorted(["doc_id", "text", "a.b", "item_id", "coverage", "contaminated", "tiles"])
+    assert {i for i, r in rows.items() if r.contaminated} == {1, 2, 6} and rows[1].coverage == 1 and rows[3].coverage == pytest.approx(6 / 18)
+    assert rows[1].item_id == 9 and rows[4].item_id is None and rows[6].item_id == 11 and rows[4].tiles == []
     assert decontaminate.judge(odd, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.judge(odd.limit(0), bench).count() == 0
 
 
 # --- the pipeline
