@@ -347,22 +347,73 @@ def test_deduplicate_keeps_one_of_each_group(spark, odd):
 # --- 8 embeddings
 
 
-def test_embedding_links_against_brute_force(spark):
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
-    size, top = len(rows[0][1]), max(i for i, _ in rows)
-    rows += [(top + 1, None), (top + 2, [0.0] * size), (top + 3, [float("nan")] * size), (top + 4, rows[0][1])]
-    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
-    good = [(i, np.array(v, float)) for i, v in rows if v is not None and np.isfinite(v).all() and any(v)]
-    unit = np.array([v / np.linalg.norm(v) for _, v in good])
-    near = unit @ unit.T >= 0.95
-    links = {i: int(near[k].sum()) - 1 for k, (i, _) in enumerate(good)}
-    assert len(got) == len(rows)
-    assert all(r.n_links <= links.get(i, 0) for i, r in got.items())
-    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(links.values())
-    assert got[top + 4].component_id <= rows[0][0]
+def _brute_links(rows):
+    """{id: links} and {id: smallest id reachable} by all pairs in double precision."""
+    good = [(i, np.array(v, float)) for i, v in rows if v is not None and None not in v and len(v) and np.isfinite(np.array(v, float)).all() and any(v)]
+    unit = []
+    for _, v in good:
+        v = np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
+        unit.append(v / np.linalg.norm(v))
+    links, parent = {i: set() for i, _ in good}, {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, _) in enumerate(good):
+        for m in range(k):
+            if len(unit[k]) == len(unit[m]) and unit[k] @ unit[m] >= 0.95:
+                j = good[m][0]
+                links[i].add(j)
+                links[j].add(i)
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    return {i: len(links.get(i, ())) for i, _ in rows}, {i: root(i) for i, _ in rows}
+
+
+def _near(rng, vector, cosine):
+    """A vector at the given cosine to another."""
+    v = np.array(vector, float)
+    other = rng.standard_normal(len(v))
+    other -= v * (other @ v) / (v @ v)
+    return (cosine * v / np.linalg.norm(v) + math.sqrt(1 - cosine * cosine) * other / np.linalg.norm(other)).tolist()
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_embedding_links_against_brute_force(spark, block):
+    rng = np.random.default_rng(12)
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    size, top = len(rows[0][1]), max(i for i, _ in rows) + 1
+    for _ in range(400):  # near pairs on both sides of the threshold
+        rows.append((top, _near(rng, rows[int(rng.integers(len(rows)))][1], float(rng.uniform(0.94, 0.97)))))
+        top += 1
+    middle = rng.standard_normal(size)  # a crowd of near copies
+    rows += [(top + k, (middle + 0.2 * rng.standard_normal(size)).tolist()) for k in range(60)]
+    top += 60
+    odd_ones = [None, [], [0.0] * size, [float("nan")] * size, [1.0, None], [float("inf"), 1.0], rows[0][1], [1e200, 1e200], [1e200, 1.0000001e200], [1e-310, 1e-310], [3.0], [2.0]]
+    rows += [(top + k, v) for k, v in enumerate(odd_ones)]
+    table = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, n_links string")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(table, block=block).collect()}
+    links, roots = _brute_links(rows)
+    assert len(got) == len(rows) and sum(links.values()) > 1500
+    assert all(got[i].n_links <= n for i, n in links.items())
+    recall = sum(r.n_links for r in got.values()) / sum(links.values())
+    assert recall >= 0.97, recall
+    assert sum(got[i].component_id == c for i, c in roots.items()) >= 0.97 * len(rows)
+    assert got[top + 7].n_links == 2 and got[top + 10].n_links == 1 and got[top + 6].n_links >= 1
+    assert all((got[top + k].n_links, got[top + k].component_id, got[top + k].kept) == (0, top + k, True) for k in range(6))
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_embeddings_on_odd_tables(spark):
+    twice = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [1.0, 2.0]), (None, [5.0, -1.0])], "vec_id long, embedding array<float>")
+    rows = sorted(embeddings.near_duplicates(twice).collect(), key=str)
+    assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in rows] == [(1, 2, 1, True), (1, 2, 1, True), (None, 0, None, False), (None, 2, 1, False)]
+    assert embeddings.near_duplicates(twice.limit(0)).count() == 0
+    assert embeddings.near_duplicates(twice.where("vec_id = 0").unionByName(spark.createDataFrame([(4, None)], "vec_id long, embedding array<float>"))).count() == 1
+
+
 # --- 10 decontamination
 
 
