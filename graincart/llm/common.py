@@ -48,7 +48,12 @@ def id_remainder(column: str, n: int) -> Column:
 def fresh(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns called like an operator's result columns: the result wins a clash."""
     lowered = {n.lower() for n in names}
-    return df.drop(*[c for c in df.columns if c.lower() in lowered])
+    return df.select(*[df[f"`{c.replace('`', '``')}`"] for c in df.columns if c.lower() not in lowered])
+
+
+def boxed(docs: DataFrame, *replaced: str) -> Column:
+    """The row as one struct, without columns that an operator's results of these names replace; ``select("row.*")`` opens it."""
+    return F.struct(*[docs[f"`{c.replace('`', '``')}`"] for c in fresh(docs, *replaced).columns] or [F.lit(0).alias("_")]).alias("row")
 
 
 def label_sample(labels: DataFrame, label: str, held: Column, rows: int, id_col: str = "doc_id") -> DataFrame:

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import durable, fresh
+from graincart.llm.common import boxed, durable
 
 SEED_WORDS, COVERAGE = 5, 0.5
 #: The most bits of a bitmap, as a power of two; verdicts that are broadcast, in bytes; words a Python worker remembers.
@@ -269,12 +269,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         found = F.broadcast(found)
     # a null text meets nothing; its key differs from row to row, lest all of them land in one task
     digest = F.coalesce(F.md5(F.col(text_col).cast("string").cast("binary")), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
-    boxed = docs.select(F.struct(*fresh_columns(docs)).alias("row"), digest.alias("digest"))
-    met = boxed.join(found, "digest", "left")
+    rows = docs.select(boxed(docs, "contaminated", "item_id", "coverage", "tiles"), digest.alias("digest"))
+    met = rows.join(found, "digest", "left")
     part = F.coalesce("coverage", F.lit(0.0))
     return met.select("row.*", F.col("item").alias("item_id"), part.alias("coverage"), (part >= coverage).alias("contaminated"), F.coalesce("tiles", F.array().cast(_TILES)).alias("tiles"))
-
-
-def fresh_columns(docs: DataFrame) -> list:
-    kept = fresh(docs, "contaminated", "item_id", "coverage", "tiles").columns
-    return [docs[f"`{c.replace('`', '``')}`"] for c in kept] or [F.lit(0).alias("_")]

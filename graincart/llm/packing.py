@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graincart.llm.common import durable, fresh
+from graincart.llm.common import boxed, durable
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of an island, in expectation; bins that migrate from it.
@@ -360,8 +360,8 @@ def _epoch(capacity: int, seed: int):
 
 def pack(items: DataFrame, capacity: int = CAPACITY, island: int = ISLAND) -> DataFrame:
     """``items`` (with ``length``) plus sequence_id and offset: no sequence over ``capacity``, offsets gapless."""
-    boxed = fresh(items, "sequence_id", "offset").select(F.struct(F.col("*")).alias("row"), F.col("length").cast("long").alias("length"))
-    keyed = durable(boxed.withColumn("uid", F.monotonically_increasing_id()))
+    rows = items.select(boxed(items, "sequence_id", "offset"), F.col("length").cast("long").alias("length"))
+    keyed = durable(rows.withColumn("uid", F.monotonically_increasing_id()))
     whole = keyed.where(F.col("length") >= capacity).select("uid", (F.col("uid") * 2 + 1).alias("sequence_id"))
     loose = keyed.where(F.col("length") < capacity).select("uid", "length")
     placed, islands, turn = whole, None, 0
