@@ -1,17 +1,20 @@
 """URL filters: host-suffix and path-prefix expressions joined to rules on short hash prefixes.
 
 Each URL expands into expressions: a suffix of its host at a label boundary with a prefix of its
-path. Only the shapes that rules have (number of labels, length of path) can fit, so only those are
-made; that is exact and bounds the work for any URL. Expressions meet rules in an equi-join on the
-first bytes of a SHA-256; the full digest then confirms, and the longest rule wins.
+path. First the suffixes of the distinct hosts, up to as many labels as any rule has, meet the rules'
+hosts; then a URL's path is cut only to the lengths that the rules of a fitting host have. That is
+exact and bounds the work for any URL and any number of rules. Both steps are equi-joins on the first
+bytes of a SHA-256; the full digest then confirms, and the longest rule wins.
 
-The join runs on distinct URLs that are matched at all, and their verdicts go back to the rows.
-Rules of at most ``BROADCAST_RULES`` rows are broadcast; a larger table is joined by shuffle.
+The joins run on distinct hosts and URLs, and the verdicts, written first, go back to the rows: so
+both sides of that join are plain, and a hot URL can be split. Tables of at most ``BROADCAST_RULES``
+rows are broadcast; larger ones are joined by shuffle.
 
 Defined results: null URLs and those without ``://`` have an empty host and path and fit no rule;
 no fitting rule gives a null rule and the default verdict; repeated rows keep their rows; an empty
-table gives an empty result; without rules all get the default; of equally long rules (the same
-rule twice) ``block`` wins; result columns replace columns of the same name.
+table gives an empty result; without rules all get the default; rules with a null or an empty host or
+a null path fit nothing; of equally long rules ``block`` wins, then the one that sorts last; result
+columns replace columns of the same name, and all others are kept, of any name.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import fresh
+from graincart.llm.common import boxed, durable
 
 #: Rules that are broadcast at most (a few hundred bytes each).
 BROADCAST_RULES = 50_000
@@ -42,25 +45,42 @@ def _labels(host: Column) -> Column:
     return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
+def _digest(*parts: Column) -> Column:
+    return F.sha2(F.concat_ws("\n", *parts), 256)
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both sides with one ``full`` digest: joined on its first digits, confirmed by all."""
+    right = durable(right.withColumn("prefix", F.substring("full", 1, PREFIX_DIGITS)).withColumnRenamed("full", "confirmed"))
+    if right.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+        right = F.broadcast(right)
+    return left.withColumn("prefix", F.substring("full", 1, PREFIX_DIGITS)).join(right, "prefix").where("full = confirmed").drop("prefix", "full", "confirmed")
+
+
+def verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, verdict) of the distinct URLs (host, path) that a rule fits."""
+    known = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & (F.col("host") != ""))
+    known = known.groupBy(F.translate("host", _UPPER, _LOWER).alias("host"), "path").agg(F.max("verdict").alias("verdict"))
+    most = known.agg(F.max(_labels(F.col("host")))).first()[0] or 0
+    if not most:
+        return urls.select("host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")).limit(0)
+    urls = durable(urls.where("host != ''").distinct())
+    labels = "length(host) - length(replace(host, '.', '')) + 1"
+    suffixes = F.expr(f"transform(sequence(1, least({labels}, {most})), n -> substring_index(host, '.', -n))")
+    hosts = urls.select("host").distinct().select("host", F.explode(suffixes).alias("suffix")).withColumn("full", _digest(F.col("suffix")))
+    sizes = known.groupBy("host").agg(F.collect_set(F.length("path")).alias("sizes")).select(_digest(F.col("host")).alias("full"), "sizes")
+    fitting = durable(_met(hosts, sizes))
+    if fitting.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+        fitting = F.broadcast(fitting)
+    cut = urls.join(fitting, "host").select("host", "path", "suffix", F.explode("sizes").alias("size")).where("size <= length(path)")
+    expressions = cut.select("host", "path", _digest(F.col("suffix"), F.expr("substring(path, 1, size)")).alias("full"))
+    fits = _met(expressions, known.select(_digest(F.col("host"), F.col("path")).alias("full"), F.concat("host", "path").alias("rule"), "verdict"))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("length"), "verdict", "rule")).alias("best"))
+    return durable(best.select("host", "path", "best.rule", "best.verdict"))
+
+
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict. ``rules``: host, path, verdict (allow or block)."""
-    known = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & (F.col("host") != ""))
-    known = known.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(F.translate("host", _UPPER, _LOWER).alias("host"), "path", "verdict")
-    shapes = [(r.labels, r.chars) for r in known.select(_labels(F.col("host")).alias("labels"), F.length("path").alias("chars")).distinct().collect()]
-    base = fresh(pages, "host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    if not shapes:
-        return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    digest = lambda host, path: F.sha2(F.concat(host, F.lit("\n"), path), 256)
-    keyed = known.select(F.concat("host", "path").alias("rule"), "verdict", digest(F.col("host"), F.col("path")).alias("full")).withColumn("prefix", F.substring("full", 1, PREFIX_DIGITS))
-    if known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        keyed = F.broadcast(keyed)
-    urls = base.where("host != '' and path != ''" if all(chars for _, chars in shapes) else "host != ''").select(F.col("host").alias("_host"), F.col("path").alias("_path")).distinct()
-    made = F.array(*[
-        F.when((_labels(F.col("_host")) >= labels) & (F.length("_path") >= chars), digest(F.substring_index("_host", ".", -labels), F.substring("_path", 1, chars)))
-        for labels, chars in sorted(shapes)
-    ])
-    expanded = urls.select("_host", "_path", F.explode(F.array_compact(made)).alias("_full")).withColumn("prefix", F.substring("_full", 1, PREFIX_DIGITS))
-    fits = expanded.join(keyed, "prefix").where("_full = full")
-    best = fits.groupBy("_host", "_path").agg(F.max(F.struct(F.length("rule").alias("length"), "rule", "verdict")).alias("best"))
-    judged = base.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-    return judged.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}).drop("best", "_host", "_path")
+    rows = pages.select(boxed(pages, "host", "path", "rule", "verdict"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    best = verdicts(rows.select("host", "path"), rules)
+    return rows.join(best, ["host", "path"], "left").select("row.*", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
