@@ -15,8 +15,10 @@ up what is left, which is what lets the sizes come out even.
 
 The law is ``rows``: shard sizes in rows differ by at most one. Rows beyond a shard's final quota
 (in the order: unlinked first) go to the shards with room, by ranks that are computed in buckets:
-a shard's rows are dealt into hash buckets, only the buckets' counts reach the driver, and ranks
-are counted inside buckets. Slots, gapless from 0, come from ranks of the same kind.
+a shard's rows are dealt into buckets of about ``BUCKET_ROWS`` rows at any size of input, by a hash of
+the key, or of the row where a key has more rows than a bucket; those come first, so that such a key
+gives up its rows last. Ranks are counted inside buckets, and the buckets' counts added up in Spark.
+Slots, gapless from 0, come from ranks of the same kind.
 
 Defined results: null texts have size 8, checksum 0 and no link; null ids are placed like others;
 repeated rows are rows of their own and linked by their text; with fewer rows than shards some
@@ -36,27 +38,25 @@ from graincart.llm.common import durable
 SHARDS = 24
 #: Keys of at least this part of a quota are dealt by a plan; there are at most ``SHARDS * LARGE`` such keys.
 LARGE = 64
-#: Rows of a rank bucket, in expectation, and the most buckets of a shard (their counts go to the driver).
-BUCKET_ROWS, MOST_BUCKETS = 20_000, 4_000
+#: Rows of a rank bucket, in expectation, and buckets whose counts are added up together.
+BUCKET_ROWS, BUCKET_GROUP = 2_000, 4_096
 
 
-def _offsets(counted: list, keys: tuple[str, ...]) -> list[tuple]:
-    """Running totals of bucket counts inside each leading key, buckets in order."""
-    out, totals = [], {}
-    for r in sorted(counted, key=lambda r: tuple(r[k] for k in keys)):
-        lead = tuple(r[k] for k in keys[:-1])
-        out.append((*(int(r[k]) for k in keys), totals.get(lead, 0)))
-        totals[lead] = totals.get(lead, 0) + r["n"]
-    return out
+def _begins(counted: DataFrame, lead: str) -> DataFrame:
+    """(lead, _bucket, _begin): the rows in buckets before each; totals run inside groups of buckets, then over the groups."""
+    grouped = counted.withColumn("_group", F.floor(F.col("_bucket") / BUCKET_GROUP))
+    before = lambda keys, order, n: F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = grouped.groupBy(lead, "_group").agg(F.sum("n").alias("n")).select(lead, "_group", before([lead], "_group", "n").alias("_base"))
+    inside = grouped.select(lead, "_bucket", "_group", before([lead, "_group"], "_bucket", "n").alias("_inside"))
+    return inside.join(groups, [lead, "_group"]).select(lead, "_bucket", (F.col("_base") + F.col("_inside")).alias("_begin"))
 
 
 def ranked(df: DataFrame, lead: str, bucket: Column, order: list[Column], out: str) -> DataFrame:
     """``df`` with a gapless rank from 0 inside each value of the int column ``lead``, buckets in order."""
-    placed = df.withColumn("_bucket", bucket.cast("int"))
-    counted = placed.groupBy(lead, "_bucket").agg(F.count("*").alias("n")).collect()
-    begins = df.sparkSession.createDataFrame(_offsets(counted, (lead, "_bucket")) or [(0, 0, 0)], f"`{lead}` int, _bucket int, _begin long")
+    placed = df.withColumn("_bucket", bucket.cast("long"))
+    counted = durable(placed.groupBy(lead, "_bucket").agg(F.count("*").alias("n")))
     inside = F.row_number().over(Window.partitionBy(lead, "_bucket").orderBy(*order))
-    return placed.join(F.broadcast(begins), [lead, "_bucket"]).withColumn(out, F.col("_begin") + inside - 1).drop("_bucket", "_begin")
+    return placed.withColumn("_inside", inside).join(durable(_begins(counted, lead)), [lead, "_bucket"]).withColumn(out, F.col("_begin") + F.col("_inside") - 1).drop("_bucket", "_begin", "_inside")
 
 
 def _quotas(rows: int, shards: int) -> list[int]:
@@ -146,15 +146,16 @@ def balance(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = durable(rows)
     total = rows.count()
     quota = _quotas(total, shards)
-    buckets = max(1, min(MOST_BUCKETS, total // (shards * BUCKET_ROWS) + 1))
-    bucket = F.pmod(F.xxhash64(F.col("key"), F.lit(3)), F.lit(buckets))  # copies stay side by side
+    buckets = total // (shards * BUCKET_ROWS) + 1
+    small = F.col("n") <= BUCKET_ROWS  # copies stay side by side, but for those of a key larger than a bucket
+    bucket = F.pmod(F.when(small, F.xxhash64("key", F.lit(3))).otherwise(F.xxhash64("uid", F.lit(3))), F.lit(buckets)) + F.when(small, buckets).otherwise(0)
     settled = ranked(rows.where("shard is not null"), "shard", bucket, [F.col("key"), F.col("uid")], "slot")
     limits = spark.createDataFrame(list(enumerate(quota)), "shard int, quota long")
     settled = durable(settled.join(F.broadcast(limits), "shard"))
     stays = settled.where("slot < quota").drop("quota")
     taken = {r.shard: r.n for r in stays.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     spare = rows.where("shard is null").unionByName(settled.where("slot >= quota").drop("quota", "slot")).withColumn("shard", F.lit(0))
-    many = max(1, min(shards * MOST_BUCKETS, total // BUCKET_ROWS + 1))
+    many = total // BUCKET_ROWS + 1
     dealt = ranked(spare, "shard", F.pmod(F.xxhash64("uid", F.lit(3)), F.lit(many)), [F.col("uid")], "rank")
     # the room of shard s holds the ranks from begin to begin + room
     begin, edges = 0, []
