@@ -35,3 +35,7 @@ class BadSignature(RecordError):
 
 class UnexpectedEnd(RecordError):
     pass
+
+
+class ClosedWriter(RecordError):
+    pass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,30 +82,53 @@ def chunk_end(begin, size, block: int = BLOCK):
     return begin + size + headers * HEADER
 
 
-def compress(data: bytes, codec: str, level: int = 3) -> tuple[int, bytes]:
-    if codec == "none":
-        return NONE, data
-    if codec == "zstd":
-        import zstandard
+def _zstd(data: bytes, level: int) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=level).compress(data)
+
+
+def _unzstd(data: bytes, size: int) -> bytes:
+    import zstandard
+
+    try:
+        return zstandard.ZstdDecompressor().decompress(bytes(data), max_output_size=size) if size else b""
+    except zstandard.ZstdError as bad:
+        raise CorruptChunk(f"zstd: {bad}") from bad
+
 
-        if not 1 <= level <= 22:
-            raise InvalidOption(f"zstd level {level} is not in 1 to 22")
-        return ZSTD, zstandard.ZstdCompressor(level=level).compress(data)
-    raise InvalidOption(f"unknown compression {codec}")
+#: Name -> (byte in the file, compress(data, level), decompress(data, size)); ``register_codec`` adds to it.
+CODECS: dict[str, tuple[int, Callable[[bytes, int], bytes], Callable[[bytes, int], bytes]]] = {
+    "none": (NONE, lambda data, level: data, lambda data, size: data),
+    "zstd": (ZSTD, _zstd, _unzstd),
+}
+
+
+def register_codec(name: str, byte: int, compress_, decompress_) -> None:
+    """Make a codec known to this process; on a cluster, from a module that the workers import too."""
+    if any(b == byte for n, (b, *_) in CODECS.items() if n != name):
+        raise InvalidOption(f"byte {byte} belongs to another codec")
+    CODECS[name] = byte, compress_, decompress_
+
+
+def check_codec(codec: str, level: int) -> None:
+    if codec not in CODECS:
+        raise InvalidOption(f"unknown compression {codec}")
+    if codec == "zstd" and not 1 <= level <= 22:
+        raise InvalidOption(f"zstd level {level} is not in 1 to 22")
+
+
+def compress(data: bytes, codec: str, level: int = 3) -> tuple[int, bytes]:
+    check_codec(codec, level)
+    byte, pack, _ = CODECS[codec]
+    return byte, pack(data, level)
 
 
 def decompress(kind: int, data: bytes, size: int) -> bytes:
-    if kind == NONE:
-        out = data
-    elif kind == ZSTD:
-        import zstandard
-
-        try:
-            out = zstandard.ZstdDecompressor().decompress(bytes(data), max_output_size=size) if size else b""
-        except zstandard.ZstdError as bad:
-            raise CorruptChunk(f"zstd: {bad}") from bad
-    else:
+    unpack = next((c[2] for c in CODECS.values() if c[0] == kind), None)
+    if unpack is None:
         raise CorruptChunk(f"unsupported compression {kind}")
+    out = unpack(data, size)
     if len(out) != size:
         raise CorruptChunk(f"{len(out)} bytes after decompression, {size} expected")
     return out

@@ -17,20 +17,33 @@ def _uniform(seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def weighted_interleave(records: DataFrame, weights: dict[str, float], seed: int) -> DataFrame:
+def _weight(weights: dict[str, float], default: float | None) -> Column:
+    if not weights and default is None:
+        raise InvalidOption("no sources")
+    if bad := [s for s, w in {**weights, "default": 1.0 if default is None else default}.items() if not w > 0]:
+        raise InvalidOption(f"the weight of {bad[0]} must be above zero")
+    other = F.raise_error(F.concat(F.lit("no weight for the source "), F.coalesce("source", F.lit("null")))).cast("double") if default is None else F.lit(float(default))
+    if not weights:
+        return other
+    return F.coalesce(F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, float(w))])[F.col("source")], other)
+
+
+def sources(records: DataFrame, weights: dict[str, float], default: float | None = None) -> DataFrame:
+    """(source, weight, records) of the sources that have records: what an interleaving draws from at its start."""
+    return records.groupBy("source").agg(F.count("*").alias("records")).select("source", _weight(weights, default).alias("weight"), "records")
+
+
+def weighted_interleave(records: DataFrame, weights: dict[str, float], seed: int, default: float | None = None) -> DataFrame:
     """``records`` (source, pos, and any others) with ``arrival``: sorted by it, sources interleave by weight.
 
     An exponential race: record k of a source arrives at the sum of its first k gaps, each an
     exponential with the source's weight as rate. At every step the next record comes from a source
     with probability of its weight over the weights of all sources that still have records, and a
     source keeps its order. Sums run inside sorted partitions; one total per source and partition is
-    added from a table of that size, so no source is gathered in one task.
+    added from a table of that size, so no source is gathered in one task. A source without a weight
+    has the weight ``default``; without that the job fails.
     """
-    if not weights:
-        raise InvalidOption("no sources")
-    if bad := [s for s, w in weights.items() if not w > 0]:
-        raise InvalidOption(f"the weight of {bad[0]} must be above zero")
-    weight = F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, float(w))])[F.col("source")]
+    weight = _weight(weights, default)
     gaps = sorted_parts(records.withColumn("_gap", -F.log(_uniform(seed)) / weight), ["source", "pos"])
     totals = gaps.groupBy("source", "_part").agg(F.sum("_gap").alias("_total"))
     before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -39,17 +52,20 @@ def weighted_interleave(records: DataFrame, weights: dict[str, float], seed: int
     return gaps.join(F.broadcast(base), ["source", "_part"]).withColumn("arrival", F.col("_base") + F.sum("_gap").over(inside)).drop("_gap", "_part", "_place", "_base")
 
 
-def reservoir_order(inputs: int, buffer: int, rng: np.random.Generator, slots: list[int], next_id: int) -> list[int]:
-    """Ids that leave as ``inputs`` more arrive, numbered from ``next_id``; ``slots`` is changed."""
-    out = []
-    for i in range(next_id, next_id + inputs):
-        if len(slots) < buffer:
-            slots.append(i)
-        else:
-            k = int(rng.integers(buffer))
-            out.append(slots[k])
-            slots[k] = i
-    return out
+def reservoir_order(inputs: int, buffer: int, rng: np.random.Generator, slots: np.ndarray, next_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids that leave as ``inputs`` more arrive, numbered from ``next_id``; the slots' ids afterwards)."""
+    fill = min(inputs, buffer - len(slots))
+    slots = np.r_[slots, np.arange(next_id, next_id + fill)]
+    new = np.arange(next_id + fill, next_id + inputs)
+    drawn = rng.integers(buffer, size=len(new))
+    # who leaves a slot is who came to it last before: the arrival before in order of slot and time, or its occupant
+    order = np.argsort(drawn, kind="stable")
+    at = drawn[order]
+    first = np.r_[True, at[1:] != at[:-1]] if len(at) else np.empty(0, bool)
+    out = np.empty(len(new), np.int64)
+    out[order] = np.where(first, slots[at], np.r_[new[:1], new[order][:-1]] if len(new) else new)
+    slots[drawn] = new  # of several arrivals the last stays
+    return out, slots
 
 
 def reservoir_shuffle(df: DataFrame, buffer: int, seed: int, out: str | None = None) -> DataFrame:
@@ -68,25 +84,27 @@ def reservoir_shuffle(df: DataFrame, buffer: int, seed: int, out: str | None = N
         from pyspark import TaskContext
 
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        held, given = None, 0
+        store: list[pa.RecordBatch] = []  # rows that may still be in a slot; ids are places in it
+        slots, size, given = np.empty(0, np.int64), 0, 0
 
-        def emit(table, picks):
+        def emit(picks):
             nonlocal given
-            part = table.take(pa.array(picks, pa.int64()))
+            part = pa.Table.from_batches(store).take(pa.array(picks))
             if out:
-                part = part.append_column(out, pa.array(range(given, given + len(picks)), pa.int64()))
+                part = part.append_column(out, pa.array(np.arange(given, given + len(picks))))
             given += len(picks)
             yield from part.combine_chunks().to_batches()
 
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            n = held.num_rows if held is not None else 0
-            table = pa.concat_tables([held, table]) if n else table
-            slots = list(range(n))
-            picks = reservoir_order(batch.num_rows, buffer, rng, slots, n)
-            yield from emit(table, picks)
-            held = table.take(pa.array(slots, pa.int64())).combine_chunks()
-        if held is not None:
-            yield from emit(held, rng.permutation(held.num_rows).tolist())
+            store.append(batch)
+            picks, slots = reservoir_order(batch.num_rows, buffer, rng, slots, size)
+            size += batch.num_rows
+            if len(picks):
+                yield from emit(picks)
+            if size > 4 * (len(slots) + batch.num_rows):  # most of the store has left
+                store = pa.Table.from_batches(store).take(pa.array(slots)).combine_chunks().to_batches()
+                slots, size = np.arange(len(slots)), len(slots)
+        if size:
+            yield from emit(rng.permutation(slots))
 
     return df.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +47,9 @@ def append_in_place(df: DataFrame, path: str, order: list[Column | str], block:
         with there.open_output_stream(side) as file:
             writer = layout.FileWriter(file, block, at=begin, **settings)
             for batch in batches:
-                for value in batch.column(0).to_pylist():
-                    writer.write(value)
+                column = batch.column(0).cast(pa.large_binary())
+                offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+                writer.write_values(offsets, memoryview(column.buffers()[2] or b""))
             writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([side])], ["side"])
 
@@ -71,9 +73,10 @@ def decode_shards(contents: DataFrame, name_col: str = "path", content_col: str
                     if isinstance(found, layout.Skip):
                         continue
                     _, offsets, values = found
-                    rows = [bytes(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(range(index, index + len(rows)), pa.int64()), pa.array(rows, pa.binary())], ["shard_id", "record_index", "value"])
-                    index += len(rows)
+                    n = len(offsets) - 1
+                    rows = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(index, index + n)), rows], ["shard_id", "record_index", "value"])
+                    index += n
 
     return contents.select(name_col, content_col).mapInArrow(run, "shard_id string, record_index long, value binary")
 

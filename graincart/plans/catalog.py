@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincart.functions.encoding import chunk_end, varint_size
-from graincart.operators.ordering import reading_order, with_row_index
+from graincart.operators.ordering import reading_order, with_record_index, with_row_index
 from graincart.operators.sampling import reservoir_shuffle, weighted_interleave
 from graincart.operators.scratch import scratch_path
 from graincart.operators.sharding import append_in_place, decode_shards, random_epochs, write_round_robin
 from graincart.sources.records import filesystem, register, shards
+from graincart.streaming.repeat import random_read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,6 +46,11 @@ def keys(spark: SparkSession, sf_dir: str, name: str = "customer", key: str = "c
     return table(spark, sf_dir, name).select(F.col(key).alias("key"), F.lpad(F.col(key).cast("string"), 10, "0").cast("binary").alias("value"))
 
 
+def indexed(spark: SparkSession, path: str, **options) -> DataFrame:
+    register(spark)
+    return with_record_index(spark, path, **options)
+
+
 def stored(df: DataFrame, name: str, mode: str = "append", **options) -> str:
     path = scratch_path(df.sparkSession, name)
     register(df.sparkSession)
@@ -67,7 +73,7 @@ def flipped(path: str, at: int) -> None:
     name, size = shards(path)[0]
     system, _ = filesystem(path)
     if at >= size:
-        return
+        raise ValueError(f"{name} has {size} bytes, too few for a fault at {at}")
     done = 0
     with system.open_input_stream(name) as old, system.open_output_stream(name + ".new") as new:
         while part := old.read(8 << 20):
@@ -82,6 +88,7 @@ def flipped(path: str, at: int) -> None:
 
 _DIGESTS = "SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents"
 _NUMBERED = "SELECT c_custkey AS key, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer"
+_ORDERS = "SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders"
 
 
 def decoded(records: DataFrame) -> DataFrame:
@@ -160,7 +167,7 @@ def rec_append_inplace(spark, sf_dir):
 def rec_shard_round_robin(spark, sf_dir):
     path = scratch_path(spark, "robin")
     write_round_robin(keys(spark, sf_dir), path, 4, ["key"])
-    return decoded(scan(spark, path, metadata="true")).select("key", F.col("shard_order").alias("shard"), F.col("record_index").alias("place"))
+    return decoded(indexed(spark, path, splitBytes="65536")).select("key", F.col("shard_order").alias("shard"), F.col("record_index").alias("place"))
 
 
 @query(f"SELECT i // 100 AS shard, count(*) AS records FROM ({_NUMBERED}) GROUP BY 1")
@@ -192,23 +199,55 @@ def rec_metadata_count(spark, sf_dir):
     return scan(spark, stored(documents(spark, sf_dir), "meta"), "record_chunks").agg(F.sum("num_records").alias("records"))
 
 
-@query("SELECT count(*) AS faults FROM documents WHERE false")
+_PAYLOAD = "40 + n // 100 * 1142 + CASE WHEN n % 100 > 0 THEN 42 + 11 * (n % 100) ELSE 0 END"
+
+
+@query(f"SELECT CAST(ceil(({_PAYLOAD}) / 4072.0) AS BIGINT) AS blocks, CAST(0 AS BIGINT) AS faults FROM (SELECT count(*) AS n FROM orders)")
 def rec_block_scan(spark, sf_dir):
-    return scan(spark, stored(documents(spark, sf_dir), "blocks"), "record_blocks").agg(F.count("fault").alias("faults"))
+    path = stored(keys(spark, sf_dir, "orders", "o_orderkey").orderBy("key").coalesce(1), "blocks", chunkSize="1000", blockSize="4096")
+    return scan(spark, path, "record_blocks", blockSize="4096", splitBytes="16384").agg(F.count("*").alias("blocks"), F.count("fault").alias("faults"))
 
 
 @query(f"SELECT key, row_number() OVER (ORDER BY i % 3, i) - 1 AS position FROM ({_NUMBERED})")
 def rec_order_drain(spark, sf_dir):
     path = scratch_path(spark, "drain")
-    write_round_robin(keys(spark, sf_dir), path, 3, ["key"])
-    return decoded(reading_order(scan(spark, path, metadata="true"), "drain")).select("key", "position")
+    write_round_robin(keys(spark, sf_dir), path, 3, ["key"], chunkSize="500", blockSize="4096")
+    return decoded(reading_order(indexed(spark, path, splitBytes="4096", blockSize="4096"), "drain")).select("key", "position")
 
 
 @query(f"SELECT key, i AS position FROM ({_NUMBERED})")
 def rec_order_round_robin(spark, sf_dir):
     path = scratch_path(spark, "turns")
-    write_round_robin(keys(spark, sf_dir), path, 3, ["key"])
-    return decoded(reading_order(scan(spark, path, metadata="true"), "round_robin")).select("key", "position")
+    write_round_robin(keys(spark, sf_dir), path, 3, ["key"], chunkSize="500", blockSize="4096")
+    return decoded(reading_order(indexed(spark, path, splitBytes="4096", blockSize="4096"), "round_robin")).select("key", "position")
+
+
+_PARTS = f"SELECT key, i, CASE WHEN 5 * i < n THEN 0 WHEN 2 * i < n THEN 1 ELSE 2 END AS shard FROM ({_NUMBERED}), (SELECT count(*) AS n FROM customer)"
+
+
+@query(f"""
+WITH parts AS ({_PARTS}), placed AS (SELECT key, shard, row_number() OVER (PARTITION BY shard ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY shard) AS n FROM parts),
+     ends AS (SELECT min(n) FILTER (WHERE shard = 0) AS a, min(n) FILTER (WHERE shard = 1) AS b FROM placed)
+SELECT key, row_number() OVER (ORDER BY CASE WHEN shard < 2 THEN k ELSE least(a, b) + 1 + k END, CASE WHEN shard < 2 THEN shard WHEN a <= b THEN 0 ELSE 1 END) - 1 AS position FROM placed, ends
+""")
+def rec_capped_round_robin(spark, sf_dir):
+    path, total = scratch_path(spark, "capped"), table(spark, sf_dir, "customer").count()
+    numbered = with_row_index(keys(spark, sf_dir), ["key"], "i")
+    part = F.when(5 * F.col("i") < total, 0).when(2 * F.col("i") < total, 1).otherwise(2)
+    for shard in range(3):
+        write_round_robin(numbered.where(part == shard), path, 1, ["i"])
+    return decoded(reading_order(indexed(spark, path), "round_robin", max_concurrent_shards=2)).select("key", "position")
+
+
+@query(f"""
+SELECT epoch, rank, key FROM (SELECT key, 'shard_' || (i % 4) AS shard FROM ({_NUMBERED})) JOIN
+  (SELECT epoch, shard, row_number() OVER (PARTITION BY epoch ORDER BY md5('7:' || epoch || ':' || shard), shard) - 1 AS rank
+   FROM (SELECT unnest(['shard_0', 'shard_1', 'shard_2', 'shard_3']) AS shard), (SELECT unnest([0::BIGINT, 1, 2]) AS epoch)) USING (shard)
+""")
+def rec_random_read(spark, sf_dir):
+    path = scratch_path(spark, "repeat")
+    write_round_robin(keys(spark, sf_dir), path, 4, ["key"])
+    return decoded(random_read(spark, path, 3, 7)).select("epoch", "rank", "key")
 
 
 @query(f"SELECT DISTINCT 'shard_' || (i % 12) AS name, CAST(dense_rank() OVER (ORDER BY 'shard_' || (i % 12)) - 1 AS INTEGER) AS shard_order FROM ({_NUMBERED})")
@@ -233,9 +272,31 @@ SELECT source, pos, row_number() OVER (ORDER BY t, source, pos) - 1 AS rank FROM
 @query(_RACE)
 def rec_weighted_interleave(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("pos"))
-    names = sorted(r[0] for r in orders.select("source").distinct().limit(1000).collect())
-    weights = {n: {"1-URGENT": 5.0, "2-HIGH": 2.0}.get(n, 1.0) for n in names}
-    return with_row_index(weighted_interleave(orders, weights, 5), ["arrival", "source", "pos"], "rank").drop("arrival")
+    return with_row_index(weighted_interleave(orders, {"1-URGENT": 5.0, "2-HIGH": 2.0}, 5, default=1.0), ["arrival", "source", "pos"], "rank").drop("arrival")
+
+
+_FILES = "SELECT 'a' AS source, c_custkey AS key, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, 2.0 AS w FROM customer UNION ALL SELECT 'b', s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1, 1.0 FROM supplier"
+
+
+@query(f"""
+SELECT source, key, row_number() OVER (ORDER BY t, source, pos) - 1 AS rank FROM (
+  SELECT source, key, pos, sum(-ln((CAST(('0x' || substr(md5('5:' || source || ':' || pos), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0) / w) OVER (PARTITION BY source ORDER BY pos) AS t FROM ({_FILES}))
+""")
+def rec_sampling_read(spark, sf_dir):
+    files = None
+    for source, *columns in (("a", "customer", "c_custkey"), ("b", "supplier", "s_suppkey")):
+        path = scratch_path(spark, "sampled")
+        write_round_robin(keys(spark, sf_dir, *columns), path, 1, ["key"])
+        read = decoded(indexed(spark, path)).select(F.lit(source).alias("source"), "key", F.col("record_index").alias("pos"))
+        files = read if files is None else files.unionByName(read)
+    return with_row_index(weighted_interleave(files, {"a": 2.0, "b": 1.0}, 5), ["arrival", "source", "pos"], "rank").select("source", "key", "rank")
+
+
+@query("SELECT r_regionkey AS key, md5(repeat(r_regionkey || '-' || r_name || ' ', 100000)) AS digest, CAST(octet_length(encode(repeat(r_regionkey || '-' || r_name || ' ', 100000))) AS BIGINT) AS bytes FROM region")
+def rec_large_records(spark, sf_dir):
+    value = F.expr("repeat(concat(r_regionkey, '-', r_name, ' '), 100000)").cast("binary")
+    read = scan(spark, stored(table(spark, sf_dir, "region").select(value.alias("value")), "large"))
+    return read.select(F.substring_index(F.col("value").cast("string"), "-", 1).cast("int").alias("key"), F.md5("value").alias("digest"), F.length("value").cast("long").alias("bytes"))
 
 
 @query("SELECT c_custkey AS key FROM customer")
@@ -243,23 +304,30 @@ def rec_reservoir_shuffle(spark, sf_dir):
     return decoded(reservoir_shuffle(scan(spark, stored(keys(spark, sf_dir), "reservoir")), 64, 42)).select("key")
 
 
-@query(f"SELECT key FROM ({_NUMBERED}) WHERE i NOT BETWEEN 100 AND 199")
+@query(f"SELECT key FROM ({_ORDERS}) WHERE i NOT BETWEEN 100 AND 199")
 def rec_recover_data_flip(spark, sf_dir):
-    path = stored(keys(spark, sf_dir).orderBy("key").coalesce(1), "flip", chunkSize="1000", blockSize="4096")
+    path = stored(keys(spark, sf_dir, "orders", "o_orderkey").orderBy("key").coalesce(1), "flip", chunkSize="1000", blockSize="4096")
     flipped(path, 1206 + 40 + 200)  # in the data of the second chunk
     return decoded(scan(spark, path, corruption="recover", blockSize="4096")).select("key")
 
 
-@query(f"SELECT key FROM ({_NUMBERED}) WHERE i NOT BETWEEN 300 AND 399")
+@query(f"SELECT key FROM ({_ORDERS}) WHERE i NOT BETWEEN 300 AND 399")
 def rec_recover_block_header(spark, sf_dir):
-    path = stored(keys(spark, sf_dir).orderBy("key").coalesce(1), "header", chunkSize="1000", blockSize="4096")
+    path = stored(keys(spark, sf_dir, "orders", "o_orderkey").orderBy("key").coalesce(1), "header", chunkSize="1000", blockSize="4096")
     flipped(path, 4096 + 3)  # the second block header lies in the fourth chunk
     return decoded(scan(spark, path, corruption="recover", blockSize="4096")).select("key")
 
 
+@query(f"SELECT key FROM ({_ORDERS}) WHERE i NOT BETWEEN 300 AND 399")
+def rec_recover_in_splits(spark, sf_dir):
+    path = stored(keys(spark, sf_dir, "orders", "o_orderkey").orderBy("key").coalesce(1), "splits", chunkSize="1000", blockSize="4096")
+    flipped(path, 4096 + 3)
+    return decoded(scan(spark, path, corruption="recover", blockSize="4096", splitBytes="4096")).select("key")
+
+
 @query("SELECT CAST(1206 AS BIGINT) AS skipped_at")
 def rec_skip_report(spark, sf_dir):
-    path = stored(keys(spark, sf_dir).orderBy("key").coalesce(1), "skips", chunkSize="1000", blockSize="4096")
+    path = stored(keys(spark, sf_dir, "orders", "o_orderkey").orderBy("key").coalesce(1), "skips", chunkSize="1000", blockSize="4096")
     flipped(path, 1206 + 40 + 200)
     return scan(spark, path, "record_skips", blockSize="4096").select("skipped_at")
 

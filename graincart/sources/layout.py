@@ -1,7 +1,9 @@
 """Files of the record format, without Spark: chunks framed into blocks, written and read back.
 
 A ``Source`` is anything with ``size`` and ``read(at, n)``. ``read_chunks`` yields the chunks that
-begin in a byte range, so a file can be read in splits; each chunk is owned by exactly one.
+begin in a byte range, so a file can be read in splits; each chunk is owned by exactly one. With
+recovery a range begins at the first sound block header at or after its start, and goes on to the
+first one at or after its end: so the splits of a damaged file give what one reading gives.
 """
 
 from __future__ import annotations
@@ -12,12 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from graincart.errors import BadSignature, CorruptBlock, CorruptChunk, InvalidBlockHeader, UnexpectedEnd
+from graincart.errors import BadSignature, ClosedWriter, CorruptBlock, CorruptChunk, InvalidBlockHeader, UnexpectedEnd
 from graincart.functions.encoding import BLOCK, CHUNK_HEADER, HEADER, chunk_end, check_block_size, compress, decode_varint, decode_varints, decompress, encode_varint, encode_varints
 from graincart.functions.hashing import highway64, highway64_many
 
 SIGNATURE, PADDING, SIMPLE = ord("s"), ord("p"), ord("r")
 CHUNK_BYTES = 1 << 20
+#: Bytes of chunks that are hashed together; read-ahead of a scan of headers alone.
+HASH_BYTES, HEADER_WINDOW = 64 << 20, 512
 
 
 # --- writing
@@ -68,7 +72,7 @@ class FileWriter:
         self._held: list[bytes] = []
         self._size = 0
         self._ready: list[tuple[int, int, bytes]] = []
-        self._ready_bytes = 0
+        self.ready_bytes, self.closed = 0, False
         if at == 0:
             self._emit(signature())
 
@@ -77,7 +81,12 @@ class FileWriter:
         self.file.write(data)
         self.at += len(data)
 
+    def _open(self) -> None:
+        if self.closed:
+            raise ClosedWriter("the file is closed")
+
     def write(self, record: bytes) -> None:
+        self._open()
         self._held.append(record)
         self._size += len(record)
         self.records += 1
@@ -87,6 +96,7 @@ class FileWriter:
 
     def write_values(self, offsets: np.ndarray, data: memoryview) -> None:
         """Records that lie in one buffer, at ``offsets``."""
+        self._open()
         sizes, at = np.diff(offsets), 0
         if self._held:
             while at < len(sizes) and self._held:
@@ -106,26 +116,46 @@ class FileWriter:
         kind, packed = compress(bytes(values), self.codec, self.level)
         lengths = encode_varints(sizes)
         self._ready.append((len(sizes), len(values), b"".join([bytes([kind]), encode_varint(len(lengths)), lengths, packed])))
-        self._ready_bytes += len(packed)
-        if self._ready_bytes >= 32 << 20:
-            self._drain()
+        self.ready_bytes += len(packed)
+        if self.ready_bytes >= HASH_BYTES:
+            drain([self])
 
     def flush_chunk(self) -> None:
+        """A chunk boundary after the last record; no chunk if none is pending."""
         if self._held:
             self._close(np.array([len(r) for r in self._held]), b"".join(self._held))
             self._held, self._size = [], 0
 
-    def _drain(self) -> None:
-        hashes = highway64_many([c[2] for c in self._ready]) if self.data_hash else [0] * len(self._ready)
-        for (records, decoded, data), h in zip(self._ready, hashes, strict=True):
-            self._emit(chunk_header(SIMPLE, records, decoded, len(data), h) + data)
-        self._ready, self._ready_bytes = [], 0
-
-    def close(self) -> None:
+    def flush(self) -> None:
+        """All records so far are in the file."""
+        self._open()
         self.flush_chunk()
-        self._drain()
+        drain([self])
         self.file.flush()
 
+    def end(self) -> None:
+        """No more records; what is left to be hashed can wait for ``drain``."""
+        if not self.closed:
+            self.flush_chunk()
+            self.closed = True
+
+    def close(self) -> None:
+        """Closing again does nothing."""
+        if not self.closed:
+            self.end()
+            drain([self])
+            self.file.flush()
+
+
+def drain(writers: list[FileWriter]) -> None:
+    """Hash the finished chunks of several files together, which keeps the lanes wide, and write them."""
+    hashed = [w for w in writers if w.data_hash]
+    hashes = iter(highway64_many([c[2] for w in hashed for c in w._ready]))
+    for w in writers:
+        for records, decoded, data in w._ready:
+            w._emit(chunk_header(SIMPLE, records, decoded, len(data), next(hashes) if w.data_hash else 0) + data)
+        w._ready, w.ready_bytes = [], 0
+
 
 # --- reading
 
@@ -226,9 +256,7 @@ def _resume(source, bad: int, begin: int, block: int) -> int:
     while at < source.size:
         try:
             prev, after = block_header(source, at, block)
-        except InvalidBlockHeader:
-            raise
-        except (CorruptBlock, UnexpectedEnd):
+        except (CorruptBlock, UnexpectedEnd):  # impossible values too: only what reading meets first is refused
             at += block
             continue
         return at - prev if at - prev > bad else at + after
@@ -243,6 +271,34 @@ def first_owned(source, start: int, block: int) -> int:
     return start if prev == 0 else start + after
 
 
+def sound_boundary(source, at: int, block: int) -> int:
+    """The first block boundary at or after ``at`` with a sound header; 0, and the file's end, are such."""
+    while 0 < at < source.size:
+        try:
+            block_header(source, at, block)
+            return at
+        except (CorruptBlock, UnexpectedEnd):
+            at += block
+    return min(at, source.size)
+
+
+def _header_of(source, begin: int, block: int, recover: bool) -> tuple[Chunk, int, CorruptBlock | None]:
+    """(chunk, where its data begins, the damage met): with ``recover``, a header across a damaged block header is still taken if its own hash holds."""
+    try:
+        raw, after = _payload(source, begin, begin, CHUNK_HEADER, block)
+        return _parse_header(raw, begin, block), after, None
+    except (InvalidBlockHeader, _Inconsistent):
+        raise
+    except CorruptBlock as bad:
+        if not recover:
+            raise
+        try:
+            raw, after = _payload(source, begin, begin, CHUNK_HEADER, block, checked=False)
+            return _parse_header(raw, begin, block), after, bad
+        except (CorruptChunk, UnexpectedEnd):
+            raise bad from None
+
+
 def read_chunks(source, start: int = 0, stop: int | None = None, block: int = BLOCK, recover: bool = False, data: bool = True) -> Iterator[Chunk | Skip]:
     """Chunks that begin in [start, stop), signatures aside; with ``data`` false, headers only.
 
@@ -257,20 +313,19 @@ def read_chunks(source, start: int = 0, stop: int | None = None, block: int = BL
                 raise BadSignature("the file does not begin with a signature")
         except (CorruptBlock, CorruptChunk, UnexpectedEnd) as bad:
             raise BadSignature(f"the file does not begin with a signature: {bad}") from bad
-    try:
-        at = first_owned(source, start, block)
-    except InvalidBlockHeader:
-        raise
-    except CorruptBlock as bad:
-        if not recover:
-            raise
-        yield Skip(start, str(bad))
-        at = _resume(source, start, start, block)
+    if recover:
+        start, stop = sound_boundary(source, start, block), sound_boundary(source, stop, block)
+    if start >= stop:
+        return
+    at = first_owned(source, start, block)
     while at < stop:
         begin, found = at, None
         try:
-            raw, after = _payload(source, begin, begin, CHUNK_HEADER, block)
-            found = _parse_header(raw, begin, block)
+            found, after, bad = _header_of(source, begin, block, recover)
+            if bad:
+                raise bad
+            if found.kind == SIGNATURE and (found.data_size or found.records or found.decoded):
+                raise CorruptChunk(f"signature at {begin} is not empty")
             if data:
                 found.data, _ = _payload(source, begin, after, found.data_size, block)
         except InvalidBlockHeader:
@@ -285,9 +340,8 @@ def read_chunks(source, start: int = 0, stop: int | None = None, block: int = BL
             if not recover:
                 raise
             yield Skip(begin, str(bad))
-            at = _resume(source, begin, begin, block)
-            if found:  # the chunk's own header is sound, so its end is known
-                at = min(at, found.end)
+            # the end of a chunk whose own header is sound is known
+            at = found.end if found else _resume(source, begin, begin, block)
             continue
         at = found.end
         if found.kind != SIGNATURE:
@@ -309,7 +363,7 @@ def decode(chunk: Chunk) -> tuple[np.ndarray, bytes]:
     return offsets, values
 
 
-def read_records(source, start: int = 0, stop: int | None = None, block: int = BLOCK, recover: bool = False, group: int = 32 << 20) -> Iterator[tuple[Chunk, np.ndarray, bytes] | Skip]:
+def read_records(source, start: int = 0, stop: int | None = None, block: int = BLOCK, recover: bool = False, group: int = HASH_BYTES) -> Iterator[tuple[Chunk, np.ndarray, bytes] | Skip]:
     """(chunk, offsets, values) in order; data hashes are checked for groups of chunks together."""
     held: list[Chunk] = []
     total = 0

@@ -2,9 +2,12 @@
 
 Options of the scan: ``prefix`` (shard), ``shardPaths`` (a JSON list, in that order, instead of a folder),
 ``corruption`` (error or recover), ``blockSize``, ``splitBytes``, ``shardOrder`` (name or numeric),
-``metadata`` (adds shard_id, shard_order, chunk_begin, record_index; then a shard is one partition).
-Options of the sink: ``prefix``, ``startIndex``, ``compression`` (none or zstd), ``zstdLevel``,
-``chunkSize``, ``blockSize``, ``dataHash`` (on or none), ``maxBytesPerShard``, ``autoShard``.
+``metadata`` (adds shard_id, shard_order, chunk_begin and chunk_record, the place in the chunk; the
+place in the shard is added by ``operators.ordering.with_record_index``).
+Options of the sink: ``prefix``, ``pathPattern`` (names with an ``{index}`` instead of the prefix),
+``startIndex``, ``compression`` (a codec's name), ``zstdLevel``, ``chunkSize``, ``blockSize``,
+``dataHash`` (on or none), ``maxBytesPerShard``, ``autoShard``. ``custom`` makes a format with a
+sharder and a locator of the caller's.
 
 A write task writes into a folder of its own attempt; the commit gives the files their names, so a
 retried or speculative task leaves nothing behind.
@@ -16,18 +19,18 @@ import json
 import posixpath
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from graincart.errors import InvalidOption, NoShards, PoolExhausted, RecordError
-from graincart.functions.encoding import BLOCK, check_block_size
+from graincart.functions.encoding import BLOCK, check_block_size, check_codec
 from graincart.sources import layout
 
 VALUE = "value binary"
-PLACES = VALUE + ", shard_id string, shard_order int, chunk_begin long, record_index long"
+PLACES = VALUE + ", shard_id string, shard_order int, chunk_begin long, chunk_record long"
 _BATCH_BYTES = 16 << 20
 
 
@@ -45,13 +48,19 @@ def shards(path: str, prefix: str = "shard", order: str = "name") -> list[tuple[
     from pyarrow import fs
 
     system, root = filesystem(path)
-    found = [f for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.type == fs.FileType.File and f.base_name.startswith(prefix + "_")]
+    found = [f for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.type == fs.FileType.File and (f.base_name.startswith(prefix + "_") if prefix else not f.base_name.startswith(("_", ".")))]
     number = lambda f: (int(m[0]) if (m := re.search(r"\d+$", f.base_name)) else -1, f.path)
     return [(f.path, f.size) for f in sorted(found, key=number if order == "numeric" else lambda f: f.path)]
 
 
+#: Extension points: a sharder names the shard with an index; a locator lists (path or URI, bytes) in reading order.
+Sharder = Callable[[int], str]
+Locator = Callable[["Settings"], list[tuple[str, int]]]
+
+
 class Settings:
-    def __init__(self, options) -> None:
+    def __init__(self, options, sharder: Sharder | None = None, locator: Locator | None = None) -> None:
+        self.sharder, self.locator = sharder, locator
         get = lambda name, default: options.get(name) or options.get(name.lower()) or default
         self.path, self.prefix = get("path", ""), get("prefix", "shard")
         self.paths = json.loads(get("shardPaths", "[]"))
@@ -67,25 +76,55 @@ class Settings:
             raise InvalidOption(f"corruption must be error or recover, not {self.corruption}")
         if self.order not in ("name", "numeric"):
             raise InvalidOption(f"shardOrder must be name or numeric, not {self.order}")
-        if self.codec not in ("none", "zstd"):
-            raise InvalidOption(f"unknown compression {self.codec}")
+        check_codec(self.codec, self.level)
+        if self.chunk < 1 or self.limit < 0 or self.start < 0:
+            raise InvalidOption("chunkSize must be at least 1, maxBytesPerShard and startIndex at least 0")
+        self.pattern = get("pathPattern", "")
+        if self.pattern and (self.pattern.format(index=1) == self.pattern.format(index=2) or "/" in self.pattern):
+            raise InvalidOption("pathPattern must hold {index} and no folder")
         if not self.path and not self.paths:
             raise InvalidOption("a path is needed")
 
+    def name(self, index: int) -> str:
+        """The file name of a shard."""
+        if self.sharder:
+            return self.sharder(index)
+        return self.pattern.format(index=index) if self.pattern else f"{self.prefix}_{index}"
+
     def found(self) -> list[tuple[str, int]]:
-        if not self.paths:
-            found = shards(self.path, self.prefix, self.order)
+        if self.locator:
+            found = self.locator(self)
+        elif self.paths:
+            found = located(self.paths)
+        elif self.pattern:
+            before, after = self.pattern.split("{", 1)[0], self.pattern.rsplit("}", 1)[1]
+            found = [f for f in shards(self.path, "", self.order) if (n := posixpath.basename(f[0])).startswith(before) and n.endswith(after)]
         else:
-            from pyarrow import fs
-
-            infos = [filesystem(p)[0].get_file_info(filesystem(p)[1]) for p in self.paths]
-            if missing := [p for p, f in zip(self.paths, infos, strict=True) if f.type != fs.FileType.File]:
-                raise NoShards(f"no such shard: {missing[0]}")
-            found = [(f.path, f.size) for f in infos]
+            found = shards(self.path, self.prefix, self.order)
         if not found:
-            raise NoShards(f"no shards {self.prefix}_* in {self.path}")
+            raise NoShards(f"no shards {self.pattern or self.prefix + '_*'} in {self.path}")
         return found
 
+    def system(self, shard: str):
+        """(file system, path in it) of a shard: of its own URI where it has one, else of the folder."""
+        if "://" in shard or shard.startswith("file:"):
+            return filesystem(shard)
+        return filesystem(self.path or self.paths[0])[0] if not self.paths else filesystem(shard)[0], shard
+
+
+def located(paths: list[str]) -> list[tuple[str, int]]:
+    """An explicit list of shards, each on a file system of its own, all of which must exist."""
+    from pyarrow import fs
+
+    out = []
+    for path in paths:
+        system, inner = filesystem(path)
+        info = system.get_file_info(inner)
+        if info.type != fs.FileType.File:
+            raise NoShards(f"no such shard: {path}")
+        out.append((path, info.size))
+    return out
+
 
 @dataclass
 class Split(InputPartition):
@@ -101,12 +140,14 @@ class _Reader(DataSourceReader):
         self.s = settings
 
     def partitions(self) -> list[Split]:
-        step = None if self.s.metadata else self.s.split
-        return [Split(p, k, at, min(size, at + (step or size)), size) for k, (p, size) in enumerate(self.s.found()) for at in range(0, max(size, 1), step or max(size, 1))]
+        return [Split(p, k, at, min(size, at + self.s.split), size) for k, (p, size) in enumerate(self.s.found()) for at in range(0, max(size, 1), self.s.split)]
+
+    #: Read-ahead, in bytes.
+    window = 8 << 20
 
     def open(self, split: Split):
-        system, _ = filesystem(self.s.paths[0] if self.s.paths else self.s.path)
-        return layout.FileSource(system.open_input_file(split.shard), split.size)
+        system, inner = self.s.system(split.shard)
+        return layout.FileSource(system.open_input_file(inner), split.size, self.window)
 
     def read(self, split: Split) -> Iterator:
         try:
@@ -122,7 +163,6 @@ class RecordsReader(_Reader):
     def rows(self, source, split: Split) -> Iterator:
         import pyarrow as pa
 
-        index = 0
         for found in layout.read_records(source, split.start, split.stop, self.s.block, self.s.corruption == "recover"):
             if isinstance(found, layout.Skip):
                 continue
@@ -135,15 +175,17 @@ class RecordsReader(_Reader):
                 arrays = [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(part.astype(np.int32)), pa.py_buffer(values[offsets[at] : offsets[to]])])]
                 names = ["value"]
                 if self.s.metadata:
-                    arrays += [pa.array([split.shard] * n), pa.array([split.order] * n, pa.int32()), pa.array([chunk.begin] * n, pa.int64()), pa.array(np.arange(index, index + n))]
-                    names += ["shard_id", "shard_order", "chunk_begin", "record_index"]
+                    arrays += [pa.array([split.shard] * n), pa.array([split.order] * n, pa.int32()), pa.array([chunk.begin] * n, pa.int64()), pa.array(np.arange(at, to))]
+                    names += ["shard_id", "shard_order", "chunk_begin", "chunk_record"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
-                at, index = to, index + n
+                at = to
 
 
 class ChunksReader(_Reader):
     """One row per chunk, from the headers alone."""
 
+    window = layout.HEADER_WINDOW
+
     def rows(self, source, split: Split) -> Iterator:
         for c in layout.read_chunks(source, split.start, split.stop, self.s.block, self.s.corruption == "recover", data=False):
             if isinstance(c, layout.Chunk):
@@ -160,7 +202,9 @@ class SkipsReader(_Reader):
 
 
 class BlocksReader(_Reader):
-    """One row per block header, valid or not."""
+    """One row per block header, valid or not, from the headers alone."""
+
+    window = layout.HEADER_WINDOW
 
     def rows(self, source, split: Split) -> Iterator:
         for at in range(split.start, split.stop, self.s.block):
@@ -172,23 +216,42 @@ class BlocksReader(_Reader):
 
 
 class RecordsStream(DataSourceStreamReader):
-    """Shards by the number that ends their name; an offset is the first number not yet read."""
+    """New shards of a folder; an offset is the set of shards read, as ranges of their numbers and a list of other names."""
 
     def __init__(self, settings: Settings) -> None:
         self.s = settings
 
-    def _numbered(self) -> dict[int, tuple[str, int]]:
-        found = shards(self.s.path, self.s.prefix, "numeric")
-        return {int(m[0]): f for f in found if (m := re.search(r"\d+$", f[0]))}
+    def _found(self) -> dict[str, tuple[str, int]]:
+        try:
+            return {posixpath.basename(p): (p, size) for p, size in self.s.found()}
+        except NoShards:
+            return {}
+
+    def _number(self, name: str) -> int:
+        """The index that gives a shard this name, or -1."""
+        m = re.search(r"\d+$", name)
+        return int(m[0]) if m and self.s.name(int(m[0])) == name else -1
 
     def initialOffset(self) -> dict:
-        return {"next": 0}
+        return {"ranges": [], "names": []}
 
     def latestOffset(self) -> dict:
-        return {"next": max(self._numbered(), default=-1) + 1}
+        numbers = {name: self._number(name) for name in self._found()}
+        ranges: list[list[int]] = []
+        for n in sorted(n for n in numbers.values() if n >= 0):
+            if ranges and ranges[-1][1] == n - 1:
+                ranges[-1][1] = n
+            else:
+                ranges.append([n, n])
+        return {"ranges": ranges, "names": sorted(name for name, n in numbers.items() if n < 0)}
+
+    def _within(self, name: str, offset: dict) -> bool:
+        n = self._number(name)
+        return name in offset["names"] if n < 0 else any(a <= n <= b for a, b in offset["ranges"])
 
     def partitions(self, start: dict, end: dict) -> list[Split]:
-        return [Split(p, n, 0, size, size) for n, (p, size) in sorted(self._numbered().items()) if start["next"] <= n < end["next"]]
+        new = [f for name, f in self._found().items() if self._within(name, end) and not self._within(name, start)]
+        return [Split(p, k, at, min(size, at + self.s.split), size) for k, (p, size) in enumerate(new) for at in range(0, max(size, 1), self.s.split)]
 
     def read(self, split: Split) -> Iterator:
         yield from RecordsReader(self.s).read(split)
@@ -215,6 +278,7 @@ class _Sink:
         task, attempt = (context.partitionId(), context.taskAttemptId()) if context else (0, 0)
         system.create_dir(root, recursive=True)
         files: list[tuple[str, int]] = []
+        waiting: list[layout.FileWriter] = []  # ended, but for what is left to be hashed
         writer = None
 
         def begin():
@@ -222,10 +286,18 @@ class _Sink:
             files.append((path, 0))
             return layout.FileWriter(system.open_output_stream(path), self.s.block, self.s.chunk, self.s.codec, self.s.level, self.s.data_hash)
 
+        def settle():
+            layout.drain(waiting)
+            for w in waiting:
+                w.file.close()
+            waiting.clear()
+
         def end():
-            writer.close()
-            writer.file.close()
+            writer.end()
             files[-1] = (files[-1][0], writer.records)
+            waiting.append(writer)
+            if sum(w.ready_bytes for w in waiting) >= layout.HASH_BYTES or len(waiting) >= 256:
+                settle()
 
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("value"))
@@ -234,34 +306,47 @@ class _Sink:
             column = pc.cast(column, pa.large_binary())
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             data = memoryview(column.buffers()[2] or b"")
-            at = 0
-            while at < len(column):
+            cuts: list[int] = []
+            if self.s.limit:  # the file that is open takes what it has room for, the next ones their limit each
+                sizes = np.diff(offsets)
+                cuts = layout.chunk_cuts(sizes, self.s.limit - (writer.bytes if writer is not None else 0))[:1]
+                if cuts:
+                    cuts += [cuts[0] + c for c in layout.chunk_cuts(sizes[cuts[0] :], self.s.limit)]
+            at, closing = 0, set(cuts)
+            for to in sorted({*cuts, len(column)}):
+                if to == at:
+                    continue
                 if writer is None:
                     if files and not self.s.auto:
                         raise PoolExhausted(f"the shard of task {task} is full and autoShard is off")
                     writer = begin()
-                room = self.s.limit - writer.bytes
-                cut = layout.chunk_cuts(np.diff(offsets[at:]), room)[:1] if self.s.limit else []
-                to = at + cut[0] if cut else len(column)
                 writer.write_values(offsets[at : to + 1], data)
-                at = to
-                if cut:
+                if to in closing:
                     end()
                     writer = None
+                at = to
         if writer is not None:
             end()
         elif not files and task == 0:
             writer = begin()
             end()
+        settle()
         return Written(task, files)
 
-    def publish(self, messages: list, name) -> None:
+    def publish(self, messages: list, name) -> set[str]:
         system, root = filesystem(self.s.path)
         files = [f for m in sorted((m for m in messages if m is not None), key=lambda m: m.task) for f in m.files]
         wanted = [f for f in files if f[1]] or files[:1]
-        for k, (path, _) in enumerate(wanted):
-            system.move(path, posixpath.join(root, name(k)))
+        names = [name(k) for k in range(len(wanted))]
+        for (path, _), new in zip(wanted, names, strict=True):
+            target = posixpath.join(root, new)
+            try:
+                system.move(path, target)  # over an old file of this name, where there is one
+            except OSError:
+                system.delete_file(target)
+                system.move(path, target)
         self.clean()
+        return set(names)
 
     def clean(self) -> None:
         from pyarrow import fs
@@ -277,14 +362,16 @@ class RecordsWriter(_Sink, DataSourceArrowWriter):
 
     def commit(self, messages: list) -> None:
         system, _ = filesystem(self.s.path)
-        old = shards(self.s.path, self.s.prefix)
-        if self.overwrite:
-            for path, _ in old:
-                system.delete_file(path)
-            old = []
-        used = {posixpath.basename(p) for p, _ in old}
-        at = iter(n for n in range(self.s.start, 1 << 62) if f"{self.s.prefix}_{n}" not in used)
-        self.publish(messages, lambda _: f"{self.s.prefix}_{next(at)}")
+        try:
+            old = {posixpath.basename(p): p for p, _ in self.s.found()}
+        except NoShards:
+            old = {}
+        used = set() if self.overwrite else set(old)
+        at = iter(n for n in range(self.s.start, 1 << 62) if self.s.name(n) not in used)
+        new = self.publish(messages, lambda _: self.s.name(next(at)))
+        if self.overwrite:  # only now that the new shards are in place
+            for name in old.keys() - new:
+                system.delete_file(old[name])
 
     def abort(self, messages: list) -> None:
         self.clean()
@@ -303,25 +390,36 @@ class RecordsStreamWriter(_Sink, DataSourceStreamArrowWriter):
         self.clean()
 
 
-class Records(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "records"
+def custom(name_: str, sharder: Sharder | None = None, locator: Locator | None = None) -> type[DataSource]:
+    """A format like ``records`` whose shards a caller's sharder names and a caller's locator finds, for ``spark.dataSource.register``."""
+
+    class Format(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name_
+
+        def settings(self) -> Settings:
+            return Settings(self.options, sharder, locator)
+
+        def schema(self) -> str:
+            return PLACES if self.settings().metadata else VALUE
+
+        def reader(self, schema):
+            return RecordsReader(self.settings())
+
+        def streamReader(self, schema):
+            return RecordsStream(self.settings())
 
-    def schema(self) -> str:
-        return PLACES if Settings(self.options).metadata else VALUE
+        def writer(self, schema, overwrite: bool):
+            return RecordsWriter(self.settings(), overwrite)
 
-    def reader(self, schema):
-        return RecordsReader(Settings(self.options))
+        def streamWriter(self, schema, overwrite: bool):
+            return RecordsStreamWriter(self.settings())
 
-    def streamReader(self, schema):
-        return RecordsStream(Settings(self.options))
+    return Format
 
-    def writer(self, schema, overwrite: bool):
-        return RecordsWriter(Settings(self.options), overwrite)
 
-    def streamWriter(self, schema, overwrite: bool):
-        return RecordsStreamWriter(Settings(self.options))
+Records = custom("records")
 
 
 def _scan(label: str, columns: str, made) -> type[DataSource]:
