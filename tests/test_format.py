@@ -217,11 +217,11 @@ def left_after(chunks, at, block):
     return [r for i, (_, _, rs) in enumerate(chunks) if i not in lost for r in rs]
 
 
-@pytest.mark.parametrize(("block", "size", "limit"), [(4096, 100, 256), (128, 10, 25), (64, 30, 60)])
-def test_one_damaged_byte_loses_what_it_must_and_no_more(block, size, limit):
-    data = written([i.to_bytes(2, "big") * (size // 2) for i in range(120)], block=block, chunk=limit)
+@pytest.mark.parametrize(("block", "size", "limit", "count", "stride"), [(4096, 100, 256, 90, 61), (128, 10, 25, 60, 7), (64, 30, 60, 16, 5)])
+def test_one_damaged_byte_loses_what_it_must_and_no_more(block, size, limit, count, stride):
+    data = written([i.to_bytes(2, "big") * (size // 2) for i in range(count)], block=block, chunk=limit)
     chunks = chunks_of(data, block)
-    for at in range(64, len(data), 7):
+    for at in range(64, len(data), stride):
         bad = data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :]
         want = left_after(chunks, at, block)
         assert read(bad, block=block, recover=True) == want, at
