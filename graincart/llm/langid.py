@@ -6,13 +6,16 @@ the tree gives ``count / (total + distinct)`` if it has seen the byte, else the
 ``distinct / (total + distinct)`` and the next shorter context; below the empty context all 256
 bytes are alike. The language with the shortest code for the whole text wins.
 
-Since the statistics are frozen, the cost depends on the longest known context and the byte alone.
-So the trees of all languages are merged into one table of nodes, each with a row of exact costs,
-and a text is scored by array look-ups, without a loop over bytes.
+Since the statistics are frozen, the cost depends on the byte and the bytes before it alone. A tree is
+kept sparse, as sorted arrays of what was seen with its cost, and contexts with the cost of their
+escape. The exact costs of windows of ``ORDER`` + 1 bytes are computed for many windows at once, and
+those met lately are remembered in a table of fixed size, so a text is scored by array look-ups,
+without a loop over bytes, and memory does not grow with languages times contexts.
 
 Defined results: null texts and texts without a letter give ``und`` and score 0; ties go to the
-language that sorts first; repeated rows are scored one by one; an empty table gives an empty
-result; with no labelled rows all is ``und``; the result columns replace columns of the same name.
+language that sorts first; repeated rows are scored one by one, and a score does not depend on the
+rows around it; an empty table gives an empty result; with no labelled rows all is ``und``; the
+result columns replace columns of the same name, and all others are kept, of any name.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graincart.llm.common import boxed
+
 #: Bytes of context, and the bound of the sample: UTF-8 bytes of a language, in expectation.
 ORDER, SAMPLE_BYTES = 3, 3_000_000
 _letter = re.compile(r"[^\W\d_]")
-_UNSEEN = 1 / 256
-#: Texts are scored together up to so many bytes.
-_BLOCK = 1 << 22
+#: Texts are counted and scored together up to so many bytes; bytes of the table of costs met lately.
+_BLOCK, _TABLE_BYTES = 1 << 20, 1 << 25
+_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _gram_counts(order: int):
@@ -63,92 +68,94 @@ def _gram_counts(order: int):
     return run
 
 
+class Tree:
+    """One language's context tree: for each window length, the windows seen and their cost in bits, and the contexts' escapes."""
+
+    def __init__(self, n: np.ndarray, gram: np.ndarray, count: np.ndarray, order: int) -> None:
+        self.levels = []
+        for length in range(order + 1, 0, -1):
+            at = n == length
+            turn = np.argsort(gram[at], kind="stable")
+            grams, counts = gram[at][turn], count[at][turn].astype(np.float64)
+            contexts, first = np.unique(grams >> 8, return_index=True)
+            totals = np.add.reduceat(counts, first) if len(first) else np.empty(0)
+            kinds = np.diff(np.r_[first, len(grams)])
+            cost = np.log2(np.repeat(totals + kinds, kinds) / counts)
+            self.levels.append((length, grams, cost, contexts, np.log2((totals + kinds) / kinds)))
+
+    def costs(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each window, which holds ``lengths`` bytes."""
+        out, left = np.zeros(len(windows)), np.arange(len(windows))
+        for length, grams, cost, contexts, escape in self.levels:
+            if not len(grams):
+                continue
+            mine = left[lengths[left] >= length]
+            window = windows[mine] & ((1 << (8 * length)) - 1)
+            place = np.minimum(np.searchsorted(grams, window), len(grams) - 1)
+            seen = grams[place] == window
+            out[mine[seen]] += cost[place[seen]]
+            missed, above = mine[~seen], window[~seen] >> 8
+            place = np.minimum(np.searchsorted(contexts, above), len(contexts) - 1)
+            known = contexts[place] == above
+            out[missed[known]] += escape[place[known]]
+            left = np.concatenate([left[lengths[left] < length], missed])
+        out[left] += 8.0  # below the empty context all bytes are alike
+        return out
+
+
 class PpmModel:
-    """Frozen statistics: for each language, context length + 1 and gram, a count."""
+    """Frozen statistics: for each language, window length and window, a count."""
 
     def __init__(self, langs: list[str], lang: np.ndarray, n: np.ndarray, gram: np.ndarray, count: np.ndarray, order: int = ORDER) -> None:
+        if order > 6:
+            raise ValueError("windows of more than 7 bytes do not fit a number")
         self.langs, self.order = langs, order
-        self.lang, self.n, self.gram, self.count = lang, n, gram, count
-        self._tables = None
+        self.lang, self.n, self.gram, self.count = lang.astype(np.int16), n.astype(np.int8), gram, count
+        self._trees: list[Tree] = []
 
     def __getstate__(self):
         return self.langs, self.order, self.lang, self.n, self.gram, self.count
 
     def __setstate__(self, state):
-        (self.langs, self.order, self.lang, self.n, self.gram, self.count), self._tables = state, None
-
-    def tables(self):
-        """(byte -> class, context of three classes -> node, node and class -> cost in bits of each language).
-
-        Bytes that no language has seen share class 0, as does the edge of a text: no context holds them.
-        """
-        if self._tables:
-            return self._tables
-        seen = np.unique(self.gram[self.n == 1])
-        classes = np.zeros(256, np.int64)
-        classes[seen] = np.arange(1, len(seen) + 1)
-        width = len(seen) + 1
-        nodes: list[dict[int, int]] = [{0: 0}]  # by context length: packed bytes of the context -> node
-        total_nodes = 1
-        for length in range(1, self.order + 1):
-            contexts = np.unique(self.gram[self.n == length + 1] >> 8)
-            nodes.append({int(c): total_nodes + i for i, c in enumerate(contexts)})
-            total_nodes += len(contexts)
-        cost = np.zeros((len(self.langs), total_nodes, width), np.float32)
-        for k in range(len(self.langs)):
-            prob = np.full((1, width), _UNSEEN)
-            below: np.ndarray | None = None  # probabilities of the nodes one shorter, by node
-            full = np.empty((total_nodes, width))
-            for length in range(self.order + 1):
-                at = nodes[length]
-                first, m = min(at.values(), default=total_nodes), len(at)
-                if not m:
-                    break
-                keys = np.fromiter(at.keys(), np.int64, m)
-                if length == 0:
-                    below = prob
-                else:
-                    shorter = nodes[length - 1]
-                    below = full[np.fromiter((shorter.get(int(c) & ((1 << (8 * (length - 1))) - 1), 0) for c in keys), np.int64, m)]
-                mine = (self.lang == k) & (self.n == length + 1)
-                row = np.searchsorted(keys, self.gram[mine] >> 8) if length else np.zeros(mine.sum(), np.int64)
-                column = classes[self.gram[mine] & 255]
-                counts = np.zeros((m, width))
-                counts[row, column] = self.count[mine]
-                totals, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    known = np.where(counts > 0, counts / (totals + kinds), below * (kinds / (totals + kinds)))
-                full[first : first + m] = np.where(totals > 0, known, below)
-            cost[k] = -np.log2(full)
-        lookup = np.zeros(width**self.order, np.int32)
-        grid = lookup.reshape((width,) * self.order)
-        for length in range(1, self.order + 1):
-            for context, node in nodes[length].items():
-                grid[(..., *(classes[(context >> (8 * i)) & 255] for i in range(length - 1, -1, -1)))] = node
-        self._tables = classes, lookup, cost.reshape(len(self.langs), -1), width
-        return self._tables
+        (self.langs, self.order, self.lang, self.n, self.gram, self.count), self._trees = state, []
+
+    def _ready(self) -> None:
+        if not self._trees:
+            of = [self.lang == k for k in range(len(self.langs))]
+            self._trees = [Tree(self.n[m], self.gram[m], self.count[m], self.order) for m in of]
+            self._bits = min(20, max(8, (_TABLE_BYTES // (4 * len(self.langs))).bit_length() - 1))
+            self._keys = np.full(1 << self._bits, -1, np.int64)  # window and length of the cost in each slot
+            self._costs = np.zeros((len(self.langs), 1 << self._bits), np.float32)
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text in each language's model: an array of texts by languages."""
-        classes, lookup, cost, width = self.tables()
-        pad = self.order
+        """Bits of each text, none of them empty, in each language's model: an array of texts by languages."""
+        self._ready()
         sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         data = np.frombuffer(b"".join(texts), np.uint8)
-        starts = np.cumsum(sizes + pad) - sizes
-        cells = np.zeros(int(sizes.sum()) + pad * len(texts) + 1, np.int32)
-        place = np.arange(len(data)) + np.repeat((np.arange(len(texts)) + 1) * pad, sizes)
-        cells[place] = classes[data]
-        context = np.zeros(len(data), np.int32)
-        for back in range(pad, 0, -1):
-            context *= width
-            context += cells[place - back]
-        at = lookup[context] * np.int32(width)
-        at += cells[place]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        starts = np.cumsum(sizes) - sizes
+        window, width = data.astype(np.int64), self.order + 1
+        for back in range(1, min(width, len(data))):
+            window[back:] |= data[:-back].astype(np.int64) << (8 * back)
+        keys = window | (np.int64(width) << 56)
+        for back in range(min(width - 1, int(sizes.max(initial=0)))):  # at a text's begin the window is shorter
+            at = starts[sizes > back] + back
+            keys[at] = (window[at] & ((1 << (8 * (back + 1))) - 1)) | ((back + 1) << 56)
+        slots = ((keys.view(np.uint64) * _HASH) >> np.uint64(64 - self._bits)).astype(np.int64)
+        missed = np.flatnonzero(self._keys[slots] != keys)
+        late = np.empty(0, np.int64)
+        if len(missed):
+            new, which = np.unique(keys[missed], return_inverse=True)
+            costs = np.stack([t.costs(new & ((1 << 56) - 1), new >> 56) for t in self._trees]).astype(np.float32)
+            place = np.empty(len(new), np.int64)
+            place[which] = slots[missed]
+            self._keys[place], self._costs[:, place] = new, costs  # of two windows for one slot the last stays
+            late = np.flatnonzero(self._keys[slots[missed]] != keys[missed])
         out = np.empty((len(texts), len(self.langs)))
         for k in range(len(self.langs)):
-            sums = np.concatenate([[0.0], np.cumsum(cost[k][at], dtype=np.float64)])
-            out[:, k] = sums[bounds[1:]] - sums[bounds[:-1]]
+            cost = self._costs[k][slots]
+            if len(late):
+                cost[missed[late]] = costs[k][which[late]]
+            out[:, k] = np.add.reduceat(cost, starts, dtype=np.float64)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -209,5 +216,6 @@ def identify(docs: DataFrame, model: PpmModel, text_col: str = "text", lang_out:
             yield pd.DataFrame({"lang": langs, "score": scores})
 
     predictions.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    predicted = docs.withColumn("_predicted", F.pandas_udf(predictions, "lang string, score double").asNondeterministic()(F.col(text_col)))
-    return predicted.withColumns({lang_out: F.col("_predicted.lang"), score_out: F.col("_predicted.score")}).drop("_predicted")
+    judge = F.pandas_udf(predictions, "lang string, score double").asNondeterministic()
+    judged = docs.select(boxed(docs, lang_out, score_out), judge(F.col(text_col).cast("string")).alias("found"))
+    return judged.select("row.*", F.col("found.lang").alias(lang_out), F.col("found.score").alias(score_out))
