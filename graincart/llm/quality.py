@@ -7,7 +7,8 @@ rates fits the weights on a bounded sample of labelled rows; scoring is a sparse
 
 Defined results: null and empty texts have no feature and score the intercept's probability;
 repeated rows are scored one by one; an empty table gives an empty result; without labelled rows
-the score is 0.5; the result columns replace columns of the same name.
+the score is 0.5; the result columns replace columns of the same name,
+and all others are kept, of any name.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import label_sample, labelled_texts
+from graincart.llm.common import boxed, label_sample, labelled_texts
 
 #: Bound of the labelled sample; hash slots as a power of two; passes over the sample.
 TRAIN_ROWS, BITS, EPOCHS = 8_000, 18, 3
@@ -137,4 +138,5 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str
             yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
     scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(out, F.pandas_udf(scores, "double").asNondeterministic()(F.col(text_col)))
+    score_of = F.pandas_udf(scores, "double").asNondeterministic()
+    return docs.select(boxed(docs, out), score_of(F.col(text_col).cast("string")).alias("found")).select("row.*", F.col("found").alias(out))

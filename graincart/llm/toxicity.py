@@ -8,7 +8,8 @@ may add terms and exceptions of their own.
 
 Defined results: null and empty texts score as texts without a match; repeated rows are scored
 one by one; an empty table gives an empty result; without labelled rows of both classes every
-score is 0; the result columns replace columns of the same name.
+score is 0; the result columns replace columns of the same name,
+and all others are kept, of any name.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import label_sample, labelled_texts
+from graincart.llm.common import boxed, label_sample, labelled_texts
 
-#: Bound of the labelled sample, and of the lexicon learned from it.
-TRAIN_ROWS, LEXICON_TERMS = 30_000, 2_000
+#: Bounds of the labelled sample, and of the lexicon and the exception phrases learned from it; letters of a term, at least.
+TRAIN_ROWS, LEXICON_TERMS, EXCEPTIONS, LEAST_LETTERS = 30_000, 2_000, 1_000, 3
 #: A term needs this likelihood ratio (G squared) and this log-odds.
 LEAST_RATIO, LEAST_ODDS = 24.0, 1.8
 
@@ -60,6 +61,7 @@ def _fold_table() -> dict[int, str]:
 FOLDS = _fold_table()
 _signed = re.compile("[" + re.escape("".join(SIGNS)) + r"](?=[^\W\d_])")
 _word = re.compile(r"[^\W\d_]+")
+_next_word = re.compile(r" [^\W\d_]+")
 
 
 def fold(text: str) -> str:
@@ -122,7 +124,7 @@ def _word_counts(batches):
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             total[label > 0] += 1
-            counts[label > 0].update({w for w in _word.findall(fold(text)) if 3 <= len(w) <= 40})
+            counts[label > 0].update({w for w in _word.findall(fold(text)) if len(w) >= LEAST_LETTERS})
             if len(counts[0]) + len(counts[1]) > 400_000:
                 yield _counted(pa, counts)
                 counts = (Counter(), Counter())
@@ -165,9 +167,12 @@ def _phrases(matcher):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 folded, phrases = fold(text), set()
                 for begin, end, _ in matcher.spans(folded):
-                    if before := re.search(r"[^\W\d_]+ $", folded[max(0, begin - 41) : begin]):
-                        phrases.add(before[0] + folded[begin:end])
-                    if after := re.match(r" [^\W\d_]+", folded[end : end + 41]):
+                    if begin > 1 and folded[begin - 1] == " " and folded[begin - 2].isalpha():
+                        at = begin - 2
+                        while at and folded[at - 1].isalpha():
+                            at -= 1
+                        phrases.add(folded[at:end])
+                    if after := _next_word.match(folded, end):
                         phrases.add(folded[begin:end] + after[0])
                 counts[label > 0].update(phrases)
         yield _counted(pa, counts)
@@ -175,7 +180,7 @@ def _phrases(matcher):
     return run
 
 
-def learn_exceptions(sample: DataFrame, weights: dict[str, float], least: int = 5, most: int = 1_000) -> list[str]:
+def learn_exceptions(sample: DataFrame, weights: dict[str, float], least: int = 5, most: int = EXCEPTIONS) -> list[str]:
     """Phrases round a term that clean documents hold at least ``least`` times and toxic ones hardly ever."""
     if not weights:
         return []
@@ -248,4 +253,5 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: st
             yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
     scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(out, F.pandas_udf(scores, "double").asNondeterministic()(F.col(text_col)))
+    score_of = F.pandas_udf(scores, "double").asNondeterministic()
+    return docs.select(boxed(docs, out), score_of(F.col(text_col).cast("string")).alias("found")).select("row.*", F.col("found").alias(out))
