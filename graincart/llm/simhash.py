@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import durable, fresh
+from graincart.llm.common import boxed, durable
 from graincart.llm.components import connected_components
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
@@ -226,21 +226,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near copies (``jaccard``): the one with the smallest id; of rows that share it, any one.
+    """One document of each group of near copies (``jaccard``): the one with the smallest id.
 
-    Rows without an id stay only as the one row of a group in which no row has an id.
+    Of rows of a group that share this id, any one stays; an id that stands in several groups is judged
+    in each. Rows without an id stay only as the one row of a group in which no row has an id. Rows are
+    known by id and text: those to drop are broadcast where they are few, so kept texts do not move.
     """
-    from graincart.llm.jaccard import near_copies, text_key
+    from graincart.llm.jaccard import BROADCAST, near_copies, text_key
 
     rooted = durable(near_copies(docs, id_col, text_col))
-    names = rooted.groupBy("root").agg(F.min("_id").alias("component_id"))
-    groups = durable(rooted.join(names, "root").withColumnRenamed("_id", id_col))
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(keep, id_col, "left_semi")
-    repeated = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col)
-    single = kept.join(repeated, id_col, "left_anti")
-    several = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-    nameless = groups.where(F.col("component_id").isNull()).select("_key", F.col("root").alias("_root")).distinct()
-    unnamed = fresh(docs.where(F.col(id_col).isNull()), "_key", "_root").withColumn("_key", text_key(F.col(text_col))).join(nameless, "_key")
-    rest = unnamed.dropDuplicates(["_root"]).select(*docs.columns)
-    return single.select(*docs.columns).union(several.select(*docs.columns)).union(rest)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("first"))
+    keep = durable(first.select("first._id", "first._key").distinct())
+    pairs = durable(rooted.groupBy("_id", "_key").agg(F.count("*").alias("n")))
+
+    def met(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        if right.limit(BROADCAST + 1).count() <= BROADCAST:
+            right = F.broadcast(right)
+        return left.join(right, left["_id"].eqNullSafe(right["_id"]) & (left["_key"] == right["_key"]), how)
+
+    drops = durable(met(pairs, keep, "left_anti").select("_id", "_key"))
+    repeated = durable(met(pairs.where("n > 1"), keep, "left_semi").select("_id", "_key"))
+    rows = docs.select(boxed(docs), F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"))
+    single = met(met(rows, drops, "left_anti"), repeated, "left_anti")
+    several = met(rows, repeated, "left_semi").dropDuplicates(["_id", "_key"])
+    return single.unionByName(several).select("row.*")

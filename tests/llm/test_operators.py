@@ -74,6 +74,10 @@ def test_language_accuracy_and_odd_rows(spark, docs, odd):
     assert all((r.lang_pred, r.score) == ("und", 0.0) for r in rows if not (r.text or "").strip())
     assert all(0 <= r.score <= 1 for r in rows)
     assert langid.identify(odd.limit(0), model).count() == 0
+    strange = langid.identify(odd.select("doc_id", "text", F.lit(1).alias("row"), F.lit(2).alias("found"), F.lit(3).alias("a.b"), F.lit(4).alias("lang_pred")), model)
+    assert strange.columns == ["doc_id", "text", "row", "found", "a.b", "lang_pred", "score"] and strange.count() == len(TEXTS)
+    alone = {t: model.predict([t])[1][0] for _, t in TEXTS if t}
+    assert all(r.score == alone[r.text] for r in rows if r.text)  # no score depends on its neighbours
     untrained = langid.train(docs.limit(0), F.lit(False))
     assert {r.lang_pred for r in langid.identify(odd, untrained).collect()} == {"und"}
 
@@ -342,6 +346,12 @@ def test_deduplicate_keeps_one_of_each_group(spark, odd):
     kept = simhash.deduplicate(odd)
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 7] and kept.columns == odd.columns
     assert simhash.deduplicate(odd.limit(0)).count() == 0
+    # one id with several texts: each is judged in its own group
+    texts = [(1, "one two three four five six"), (1, "six five four three two one"), (2, "one two three four five six"), (3, "all other words in this text"), (3, "all other words in this text"), (None, None), (None, None)]
+    strange = spark.createDataFrame([(*t, 1, 2, 3) for t in texts], "doc_id long, text string, _key int, root int, `_id.x` int")
+    kept = simhash.deduplicate(strange)
+    assert kept.columns == strange.columns
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, [texts[0], texts[1], texts[3], texts[5]]))
 
 
 # --- 8 embeddings
