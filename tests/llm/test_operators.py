@@ -507,6 +507,30 @@ def test_reordered_passages_are_found(spark, odd):
     assert decontaminate.judge(odd.limit(0), bench).count() == 0
 
 
+# --- components
+
+
+@pytest.mark.parametrize("one_task", [0, 100_000])
+def test_components_against_brute_force(spark, one_task):
+    rng = np.random.default_rng(14)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-40, 40, (45, 2))] + [(k, k + 1) for k in range(100, 130)] + [(500, 500), (7, 8), (8, 7), (7, 8)]
+    rows = [*edges, (None, 3), (4, None), (None, None)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        first, second = sorted((root(x), root(y)))
+        parent[second] = first
+    table = spark.createDataFrame(rows, "a long, b long")
+    found = {r.node: r.component for r in components.connected_components(table, one_task=one_task).collect()}
+    assert found == {x: root(x) for e in edges for x in e if e[0] != e[1]}
+    assert components.connected_components(table.limit(0), one_task=one_task).count() == 0
+
+
 # --- the pipeline
 
 
