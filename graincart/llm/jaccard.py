@@ -1,12 +1,13 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix filter, verification, components.
+"""Near copies by SimHash and by exact Jaccard similarity of word shingles: prefix filter, verification, components.
 
 Words are those of ``simhash`` (ASCII letters lower-cased, split at ASCII white space); a text is the
 set of its shingles of ``SHINGLE`` words (all words, if fewer). Two texts are linked where the sets'
 similarity, shared over all, is 4/5 or more, compared in integers. Texts with equal sets are one
 entry, so copies do not multiply; texts without a word have the empty set and are one entry.
 
-SimHash alone cannot give this: two texts at similarity 0.8 differ in about ten of 64 bits. So the search
-is by shared shingles: similar sets share at least four fifths of the larger. With the shingles of
+Fingerprints of ``simhash`` come first: texts whose fingerprints differ in at most two bits are linked,
+as in query 7, and what these links join need not meet again. SimHash alone cannot find the rest: two
+texts at similarity 0.8 differ in about ten of 64 bits. So the further search is by shared shingles: similar sets share at least four fifths of the larger. With the shingles of
 every set in one order, the first n - ceil(4n/5) + 1 of two such sets therefore have one in common, so
 each entry goes to these of its shingles, and no pair is missed. Any order will do; it is by count in a
 sample of texts, then by hash, so that common passages come last and rarely make a bucket. Only buckets
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from graincart.llm.common import durable
 from graincart.llm.components import connected_components
-from graincart.llm.simhash import _shingle_hashes
+from graincart.llm.simhash import _shingle_hashes, fingerprint_roots, fingerprints_of
 
 SHINGLE = 5
 #: Texts, about, whose shingles are counted for the order, and the shingles of the sample that count as common.
@@ -84,14 +85,14 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
 
 
 def _marked(common: np.ndarray, counts: np.ndarray):
-    """(_id, _key, text) -> (_id, _key, entry, n, prefix, sketch, parities)."""
+    """(_id, _key, text) -> (_id, _key, fp, entry, n, prefix, sketch, parities)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for text in batch.column(2).to_pylist():
+            rows, texts = [], batch.column(2).to_pylist()
+            for text in texts:
                 shingles = shingle_set(text)
                 seen = np.zeros(len(shingles), np.int64)
                 if len(common):
@@ -103,10 +104,10 @@ def _marked(common: np.ndarray, counts: np.ndarray):
                 rows.append((_digest(shingles), len(shingles), first.view(np.int64), sketch, *parity.tolist()))
             entry, n, first, sketch, *parity = zip(*rows, strict=True) if rows else ((),) * (4 + len(PARITY))
             columns = [
-                batch.column(0), batch.column(1), pa.array(np.array(entry, np.uint64).view(np.int64)), pa.array(n, pa.int32()),
+                batch.column(0), batch.column(1), pa.array(fingerprints_of(texts).view(np.int64)), pa.array(np.array(entry, np.uint64).view(np.int64)), pa.array(n, pa.int32()),
                 pa.array(first, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), *(pa.array(p, pa.int64()) for p in parity),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "_key", "entry", "n", "prefix", "sketch", *PARITY])
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_key", "fp", "entry", "n", "prefix", "sketch", *PARITY])
 
     return run
 
@@ -211,8 +212,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, entries: DataFrame, text_col: s
     return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_similar, "a long, b long"))
 
 
-def link_entries(entries: DataFrame, prefixes: DataFrame, docs: DataFrame, text_col: str, block: int | None = None) -> DataFrame:
-    """(node, component) of every entry that has a near copy; ``entries``: entry, _key, n, sketch, parities; ``prefixes``: key, entry."""
+def link_entries(entries: DataFrame, prefixes: DataFrame, docs: DataFrame, text_col: str, block: int | None = None, links: DataFrame | None = None) -> DataFrame:
+    """(node, component) of every entry that has a near copy; ``entries``: entry, _key, n, sketch, parities; ``prefixes``: key, entry; ``links``: (a, b) known before."""
     block = block or BLOCK
     # an entry is in a bucket once, so two hashes and the number of entries tell the set
     buckets = prefixes.groupBy("key").agg(F.count("*").alias("c"), *(F.bit_xor(F.xxhash64("entry", F.lit(k))).alias(f"x{k}") for k in (0, 1))).where("c > 1")
@@ -228,7 +229,7 @@ def link_entries(entries: DataFrame, prefixes: DataFrame, docs: DataFrame, text_
         several = durable(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"))
         return durable(rows.join(_few(several), "key"))
 
-    links = groups = None
+    groups = None if links is None else durable(connected_components(links))
     for turn in range(ROUNDS):
         order = F.struct("n", "entry") if turn == 0 else F.struct(F.xxhash64("entry", F.lit(turn)), "entry")
         rows = apart(groups).join(entries.select("entry", "n"), "entry").withColumn("block", F.pmod(F.xxhash64("entry", F.lit(50 + turn)), F.col("blocks")))
@@ -264,6 +265,15 @@ def _common(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], found.column("c").to_numpy()[order]
 
 
+def _simhash_links(marked: DataFrame) -> DataFrame | None:
+    """(a, b) links that join the entries whose fingerprints are in one group; None if there are none."""
+    fps = durable(marked.groupBy("fp").agg(F.min("entry").alias("first")))
+    rooted = durable(fingerprint_roots(fps))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("b")), "root").select("fp", "b")
+    links = durable(marked.select("fp", F.col("entry").alias("a")).distinct().join(named, "fp").where("a != b").select("a", "b").distinct())
+    return None if links.isEmpty() else links
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int | None = None) -> DataFrame:
     """(_id, _key, root) of every document; ``root`` is one for each group of near copies."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -272,11 +282,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     order = _marked(common, counts)
     rows = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).cast("string").alias("text"))
-    made = rows.mapInArrow(order, f"_id {kind}, _key long, entry long, n int, prefix array<long>, sketch binary, " + ", ".join(f"{p} long" for p in PARITY))
+    made = rows.mapInArrow(order, f"_id {kind}, _key long, fp long, entry long, n int, prefix array<long>, sketch binary, " + ", ".join(f"{p} long" for p in PARITY))
     marked = durable(made.withColumn("uid", F.monotonically_increasing_id()))
     # one row stands for all of an entry
     named = durable(marked.groupBy("entry").agg(F.min("uid").alias("uid")).select("uid"))
     stands = marked.join(_few(named), "uid", "left_semi")
     entries = durable(stands.select("entry", "_key", "n", "sketch", *PARITY))
-    groups = link_entries(entries, stands.select(F.explode("prefix").alias("key"), "entry"), docs, text_col, block)
+    groups = link_entries(entries, stands.select(F.explode("prefix").alias("key"), "entry"), docs, text_col, block, _simhash_links(marked))
     return marked.select("_id", "_key", "entry").join(groups, F.col("entry") == F.col("node"), "left").select("_id", "_key", F.coalesce("component", "entry").alias("root"))

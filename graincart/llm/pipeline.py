@@ -38,9 +38,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word similarity of 0.8 or more): the one with the smallest id.
+    """One document of each group of near copies: the one with the smallest id.
 
-    Texts without a word are copies of each other; of rows that share an id and a group any one stays;
+    Links are SimHash fingerprints at two or fewer differing bits, as in query 7, and five-word
+    similarity of 0.8 or more, which SimHash at two bits misses; groups are what both together reach. Texts without a word are copies of each other; of rows that share an id and a group any one stays;
     rows without an id stay only where their whole group has none; an empty table stays empty; all
     columns are kept, of any name.
     """

@@ -214,19 +214,24 @@ def link_fingerprints(fps: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
     return found.where("b is not null").unionByName(through.distinct())
 
 
+def fingerprint_roots(distinct: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
+    """``distinct`` (fp, first) with ``root``, any fingerprint of the group that links at ``THRESHOLD`` bits make."""
+    groups = connected_components(link_fingerprints(distinct.select("fp"), limit))
+    return distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = ANCHOR_LIMIT) -> DataFrame:
     """(id, fingerprint, component_id, root) of every document; ``root`` is any fingerprint of the group."""
     marked = durable(docs.select(F.col(id_col).alias("_id"), fingerprint(F.col(text_col)).alias("fp")))
     distinct = durable(marked.groupBy("fp").agg(F.min("_id").alias("first")))
-    groups = connected_components(link_fingerprints(distinct.select("fp"), limit))
-    rooted = durable(distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root")))
+    rooted = durable(fingerprint_roots(distinct, limit))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = durable(rooted.join(names, "root").select("fp", "root", "component_id"))
     return marked.join(named, "fp").select(F.col("_id").alias(id_col), as_hex("fp").alias("fingerprint"), "component_id", "root")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near copies (``jaccard``): the one with the smallest id.
+    """One document of each group of near copies (by fingerprints and ``jaccard``): the one with the smallest id.
 
     Of rows of a group that share this id, any one stays; an id that stands in several groups is judged
     in each. Rows without an id stay only as the one row of a group in which no row has an id. Rows are

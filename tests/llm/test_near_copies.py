@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from graincart.llm import jaccard, pipeline
+from graincart.llm import jaccard, pipeline, simhash
 
 
 def planted():
@@ -52,3 +52,13 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark, monkeypatch, block)
     assert len(want) < len(rows) - 20
     kept = pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), None)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def test_stage_links_by_simhash(spark):
+    """Repeats count in fingerprints only: these differ in no bit, but share few of their distinct shingles."""
+    tails = [" ".join(f"{side}{i}" for i in range(30)) for side in "xy"]
+    rows = [(3, "so it goes " * 200 + tails[0]), (5, "so it goes " * 200 + tails[1]), (7, tails[0]), (8, tails[1] + " end")]
+    assert 5 * len(shingles(rows[0][1]) & shingles(rows[1][1])) < len(shingles(rows[0][1]) | shingles(rows[1][1]))
+    assert len(set(simhash.fingerprints_of([t for _, t in rows[:2]]).tolist())) == 1
+    kept = pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), None)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 8]
