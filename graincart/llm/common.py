@@ -3,24 +3,51 @@
 * ``durable`` cuts lineage with a reliable checkpoint in the folder the cluster names in
   ``spark.checkpoint.dir``; a temporary folder is used only where that is unset (tests).
 * ``configure`` bounds the Arrow batches that carry whole texts to Python.
+* ``kept`` holds what a Python worker keeps from task to task, one operator's at a time.
 * ``read_table`` reads one input table through Spark's own reader, so any store works.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; texts may be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch, about: a batch of long texts, or of pairs of sets, ends before its rows are full.
+BATCH_BYTES = 4 << 20
 #: The public tokenizer of the registered queries, by name.
 TOKENIZER = "word_bpe_49k.json"
 
 
 def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object] = lambda: None) -> object:
+    """What this Python worker keeps under ``key`` from task to task.
+
+    Workers outlive the stages of a job, so the first task with another key frees it and hands unused memory back.
+    """
+    if key not in _kept:
+        import pyarrow as pa
+
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+            trim(0)
+        _kept[key] = make()
+    return _kept[key]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graincart.llm.common import durable
+from graincart.llm.common import durable, kept
 from graincart.llm.components import connected_components
 from graincart.llm.simhash import _shingle_hashes, fingerprint_roots, fingerprints_of
 
@@ -67,6 +67,7 @@ def _shingles(batches):
     """Texts -> one row for each shingle of each."""
     import pyarrow as pa
 
+    kept("near copies")
     for batch in batches:
         found = [shingle_set(t) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], ["key"])
@@ -90,6 +91,7 @@ def _marked(common: np.ndarray, counts: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
+        kept("near copies")
         for batch in batches:
             rows, texts = [], batch.column(2).to_pylist()
             for text in texts:

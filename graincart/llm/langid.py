@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import boxed
+from graincart.llm.common import boxed, kept
 
 #: Bytes of context, and the bound of the sample: UTF-8 bytes of a language, in expectation.
 ORDER, SAMPLE_BYTES = 3, 3_000_000
@@ -55,6 +55,7 @@ def _gram_counts(order: int):
     def run(batches):
         import pyarrow as pa
 
+        kept("language ID")
         held, size = {}, 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -133,14 +134,16 @@ class PpmModel:
         sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         data = np.frombuffer(b"".join(texts), np.uint8)
         starts = np.cumsum(sizes) - sizes
-        window, width = data.astype(np.int64), self.order + 1
+        keys, width = data.astype(np.int64), self.order + 1  # in place, as a block's arrays take most of the memory
         for back in range(1, min(width, len(data))):
-            window[back:] |= data[:-back].astype(np.int64) << (8 * back)
-        keys = window | (np.int64(width) << 56)
+            keys[back:] |= data[:-back].astype(np.int64) << (8 * back)
+        keys |= np.int64(width) << 56
         for back in range(min(width - 1, int(sizes.max(initial=0)))):  # at a text's begin the window is shorter
             at = starts[sizes > back] + back
-            keys[at] = (window[at] & ((1 << (8 * (back + 1))) - 1)) | ((back + 1) << 56)
-        slots = ((keys.view(np.uint64) * _HASH) >> np.uint64(64 - self._bits)).astype(np.int64)
+            keys[at] = (keys[at] & ((1 << (8 * (back + 1))) - 1)) | ((back + 1) << 56)
+        hashes = keys.view(np.uint64) * _HASH
+        hashes >>= np.uint64(64 - self._bits)
+        slots = hashes.view(np.int64)
         missed = np.flatnonzero(self._keys[slots] != keys)
         late = np.empty(0, np.int64)
         if len(missed):
@@ -211,6 +214,7 @@ def identify(docs: DataFrame, model: PpmModel, text_col: str = "text", lang_out:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predictions(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kept("language ID")
         for texts in batches:
             langs, scores = shared.value.predict(texts.tolist())
             yield pd.DataFrame({"lang": langs, "score": scores})

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graincart.llm.common import boxed, durable
+from graincart.llm.common import boxed, durable, kept
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of an island, in expectation; bins that migrate from it.
@@ -154,15 +154,14 @@ class Encoder:
         return text.split()
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker, kept from task to task."""
-    if path not in _encoders:
+    """The encoder of this Python worker, kept from task to task until another operator's tasks come."""
+
+    def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        return Encoder(path)
+
+    return kept(f"encoder {path}", make)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import boxed, label_sample, labelled_texts
+from graincart.llm.common import boxed, kept, label_sample, labelled_texts
 
 #: Bounds of the labelled sample, and of the lexicon and the exception phrases learned from it; letters of a term, at least.
 TRAIN_ROWS, LEXICON_TERMS, EXCEPTIONS, LEAST_LETTERS = 30_000, 2_000, 1_000, 3
@@ -119,6 +119,7 @@ class Matcher:
 def _word_counts(batches):
     import pyarrow as pa
 
+    kept("toxicity")
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     total = [0, 0]
     for batch in batches:
@@ -249,6 +250,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept("toxicity")
         for texts in batches:
             yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
