@@ -193,6 +193,55 @@ def _block_pairs(batches):
         yield pairs(held, True)[0]
 
 
+def _mixed(x: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th of independent hashes of words."""
+    x = x.view(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _buckets(batches):
+    """(key, entry) sorted by both -> (c, x0, x1, part, key, entries) of keys of several entries, repeats left out.
+
+    ``c``, ``x0`` and ``x1`` are the number and two hashes of all entries of the key; a row has up to ``BLOCK`` of them.
+    """
+    import pyarrow as pa
+
+    def settle(keys: np.ndarray, entries: np.ndarray):
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (entries[1:] != entries[:-1])]
+        keys, entries = keys[new], entries[new]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sizes = np.diff(np.r_[starts, len(keys)])
+        several = np.repeat(sizes > 1, sizes)
+        keys, entries, sizes = keys[several], entries[several], sizes[sizes > 1]
+        if not len(sizes):
+            return
+        starts, parts = np.cumsum(sizes) - sizes, -(-sizes // BLOCK)
+        part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        cuts = np.repeat(starts, parts) + BLOCK * part
+        sets = [np.bitwise_xor.reduceat(_mixed(entries, k), starts).view(np.int64) for k in (0, 1)]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(entries)], pa.int32()), pa.array(entries))
+        columns = [*(pa.array(np.repeat(x, parts)) for x in (sizes, *sets)), pa.array(part, pa.int32()), pa.array(keys[cuts]), lists]
+        yield pa.RecordBatch.from_arrays(columns, ["c", "x0", "x1", "part", "key", "entries"])
+
+    keys, entries = np.empty(0, np.int64), np.empty(0, np.int64)
+    held, total = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        total += batch.num_rows
+        if total > 1 << 17:
+            keys, entries = (np.concatenate([x, *y]) for x, y in zip((keys, entries), zip(*held, strict=True), strict=True))
+            held, total = [], 0
+            if cut := int(np.searchsorted(keys, keys[-1])):  # the last key may go on
+                yield from settle(keys[:cut], entries[:cut])
+                keys, entries = keys[cut:], entries[cut:]
+    if held:
+        keys, entries = (np.concatenate([x, *y]) for x, y in zip((keys, entries), zip(*held, strict=True), strict=True))
+    if len(keys):
+        yield from settle(keys, entries)
+
+
 def _few(df: DataFrame) -> DataFrame:
     """``df``, which is written, to be broadcast where its rows are few."""
     return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
@@ -203,10 +252,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, entries: DataFrame, text_col: s
     pairs = durable(pairs)
     if pairs.isEmpty():
         return pairs
-    ends = [entries.select(F.col("entry").alias(x), F.col("n").alias(n), F.col("sketch").alias(side)) for x, n, side in (("a", "n", "left"), ("b", "m", "right"))]
+    # the ends' sketches are taken out once, as all entries would move for each end
+    nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("entry")).distinct())
+    known = durable(entries.select("entry", "_key", "n", "sketch").join(_few(nodes), "entry", "left_semi"))
+    ends = [known.select(F.col("entry").alias(x), F.col("n").alias(n), F.col("sketch").alias(side)) for x, n, side in (("a", "n", "left"), ("b", "m", "right"))]
     pairs = durable(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "n", "m", "left", "right").mapInArrow(_plausible, "a long, b long"))
     nodes = pairs.select(F.col("a").alias("entry")).union(pairs.select(F.col("b").alias("entry"))).distinct()
-    wanted = durable(nodes.join(entries.select("entry", "_key"), "entry").select("_key").distinct())
+    wanted = durable(nodes.join(known.select("entry", "_key"), "entry").select("_key").distinct())
     texts = docs.select(text_key(F.col(text_col)).alias("_key"), F.col(text_col).cast("string").alias("text")).join(_few(wanted), "_key", "left_semi").select("text")
     # one exchange of the sets serves both joins
     sets = texts.mapInArrow(_sets, "entry long, packed binary").groupBy("entry").agg(F.first("packed").alias("packed"))
@@ -217,11 +269,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, entries: DataFrame, text_col: s
 def link_entries(entries: DataFrame, prefixes: DataFrame, docs: DataFrame, text_col: str, block: int | None = None, links: DataFrame | None = None) -> DataFrame:
     """(node, component) of every entry that has a near copy; ``entries``: entry, _key, n, sketch, parities; ``prefixes``: key, entry; ``links``: (a, b) known before."""
     block = block or BLOCK
-    # an entry is in a bucket once, so two hashes and the number of entries tell the set
-    buckets = prefixes.groupBy("key").agg(F.count("*").alias("c"), *(F.bit_xor(F.xxhash64("entry", F.lit(k))).alias(f"x{k}") for k in (0, 1))).where("c > 1")
-    alike = buckets.groupBy("c", "x0", "x1").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
-    sizes = durable(alike.select("key", "weight", F.ceil(F.col("c") / block).cast("int").alias("blocks")))
-    shared = durable(prefixes.join(_few(sizes), "key"))
+    # two hashes and the number of entries tell the set; the prefixes, most of which meet nothing, move once
+    dealt = prefixes.select("key", "entry").repartition("key").sortWithinPartitions("key", "entry")
+    buckets = dealt.mapInArrow(_buckets, "c long, x0 long, x1 long, part int, key long, entries array<long>")
+    alike = buckets.groupBy("c", "x0", "x1", "part").agg(F.min("key").alias("key"), F.count("*").alias("weight"), F.first("entries").alias("entries"))
+    shared = durable(alike.select("key", "weight", F.ceil(F.col("c") / block).cast("int").alias("blocks"), F.explode("entries").alias("entry")))
 
     def apart(groups: DataFrame | None) -> DataFrame:
         """Rows of the buckets that span several components, with the component as root."""
@@ -287,8 +339,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = rows.mapInArrow(order, f"_id {kind}, _key long, fp long, entry long, n int, prefix array<long>, sketch binary, " + ", ".join(f"{p} long" for p in PARITY))
     marked = durable(made.withColumn("uid", F.monotonically_increasing_id()))
     # one row stands for all of an entry
-    named = durable(marked.groupBy("entry").agg(F.min("uid").alias("uid")).select("uid"))
-    stands = marked.join(_few(named), "uid", "left_semi")
+    several = durable(marked.groupBy("entry").agg(F.min("uid").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    stands = marked.join(_few(several), "entry", "left").where("first is null or uid = first")
     entries = durable(stands.select("entry", "_key", "n", "sketch", *PARITY))
     groups = link_entries(entries, stands.select(F.explode("prefix").alias("key"), "entry"), docs, text_col, block, _simhash_links(marked))
     return marked.select("_id", "_key", "entry").join(groups, F.col("entry") == F.col("node"), "left").select("_id", "_key", F.coalesce("component", "entry").alias("root"))
