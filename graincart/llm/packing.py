@@ -103,18 +103,22 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [self._split(t) for t in texts]
-        words = set().union(*split)
-        if len(self.young) + len(words) > self.remembered:
+        found = [list(map(self.young.get, ws)) for ws in split]  # each word is looked up once; the few holes are filled later
+        holes = [[k for k, ids in enumerate(got) if ids is None] for got in found]
+        missing = {ws[k] for ws, at in zip(split, holes, strict=True) for k in at}
+        if len(self.young) + len(missing) > self.remembered:
             self.old, self.young = self.young, {}
         known = self.young
-        missing = words - known.keys()
         if self.old:
             again = {w: b for w in missing if (b := self.old.get(w)) is not None}
             known.update(again)
             missing -= again.keys()
         if missing:
             self._learn(list(missing))
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        for ws, got, at in zip(split, found, holes, strict=True):
+            for k in at:
+                got[k] = known[ws[k]]
+        return [b"".join(got) for got in found]
 
     def _learn(self, words: list[str]) -> None:
         if self.bare:
@@ -132,17 +136,26 @@ class Encoder:
         self.young.update((w, struct.pack(f"<{len(i)}I", *i)) for w, i in zip(words, ids, strict=True))
 
     def _learn_plain(self, words: list[str]) -> bool:
-        """Whether the words could be learned from the bare model."""
+        """Whether the words could be learned from the bare model.
+
+        A part is cut off alone as it is in a word, so parts are remembered as words, and only new ones go to the model.
+        """
         parts = [[w] if w.isalpha() else self.cut.findall(w) for w in map(str.lower, words)]
-        flat = " ".join(" ".join(p) for p in parts if p).translate(self.letters | {32: " "})
+        known = self.young
+        new = set().union(*parts).difference(known)
+        if self.old:
+            again = {p: b for p in new if (b := self.old.get(p)) is not None}
+            known.update(again)
+            new -= again.keys()
+        flat = " ".join(new).translate(self.letters | {32: " "})
         ids = np.array(self.bare.encode_batch_fast([flat], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
-        sizes = np.array([len(p) for p in parts])
-        if len(ends) != sizes.sum() or (len(ids) and ends[-1:] != len(ids)):  # a part without an own end
+        if len(ends) != len(new) or (len(ids) and ends[-1:] != len(ids)):  # a part without an own end
             return False
-        stops = (4 * np.r_[0, ends][np.cumsum(sizes)]).tolist()
+        stops = (4 * ends).tolist()
         data = ids.tobytes()
-        self.young.update(zip(words, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+        known.update(zip(new, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+        known.update((w, b"".join(map(known.__getitem__, p))) for w, p in zip(words, parts, strict=True))
         return True
 
     def _split(self, text: str) -> list[str]:
