@@ -25,8 +25,11 @@ from __future__ import annotations
 import json
 import os
 import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -42,7 +45,7 @@ ISLAND, ELITE = 3000, 16
 POPULATION, GENERATIONS, PATIENCE = 8, 120, 30
 #: A bin with at least this share filled is kept when islands merge.
 FULL = 0.998
-#: Words whose ids a Python worker remembers, in each of two generations.
+#: Words and parts of words whose ids a Python worker remembers, in each of two generations.
 REMEMBERED = 600_000
 
 
@@ -50,6 +53,7 @@ REMEMBERED = 600_000
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMAL = ["NFC", "Replace", "Lowercase"]
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
+_SPACE, _LETTER, _NUMBER, _SIGN = range(4)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,22 +63,23 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
 
 
-def _latin(text: str) -> bool:
-    """Whether all characters are Latin-1's: these have no marks to compose, and Python and the tokenizer lower-case them alike."""
+def _latin(text: str) -> bytes | None:
+    """The text a byte a character if all are Latin-1's: these have no marks to compose, and Python and the tokenizer lower-case them alike."""
     try:
-        text.encode("latin-1")
+        return text.encode("latin-1")
     except UnicodeEncodeError:
-        return False
-    return True
+        return None
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that never joins text across white space, word by word from memory.
-
-    Memory has two generations: words of a full young one become the old one, and return to the
-    young one when they are met again, so frequent words stay and rare ones go. New words of Latin-1
-    letters are cut and put in the model's byte letters here, and given to the bare model many at a
-    time, if the tokenizer is of the kind that ends its words with a suffix; others are left to it.
+    """Ids of texts by a tokenizer that never joins text across white space, part by part from memory.
+
+    If the tokenizer is of the kind that ends its words with a suffix, texts of Latin-1 letters
+    are cut into its parts (runs of letters, digits, signs) here, all texts of a call at once; each
+    distinct part is looked up once, and new ones go to the bare model many at a time, in its byte
+    letters. Other texts go word by word, new words of other letters through the whole tokenizer.
+    Memory has two generations: entries of a full young one become the old one, and return to the
+    young one when they are met again, so frequent ones stay and rare ones go.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
@@ -86,8 +91,8 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         told = json.loads(self.tokenizer.to_str())
         # what only the tokenizer itself may see: its special tokens, and white space to Python that is none to it
-        self.special = [t["content"].lower() for t in told["added_tokens"]]
-        self.odd = [*self.special, *_SEPARATORS]
+        special = [unicodedata.normalize("NFC", t["content"]).lower() for t in told["added_tokens"]]
+        self.odd = [raw for c in (*special, *_SEPARATORS) if (raw := _latin(c)) is not None]
         cut = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         normal = [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])]
         suffix = told["model"].get("end_of_word_suffix")
@@ -95,73 +100,101 @@ class Encoder:
         if suffix and normal == _NORMAL and [c.get("type") for c in cut] == ["Split", "ByteLevel"] and cut[0]["pattern"] == {"Regex": _CUT} and cut[0]["invert"] and not (cut[1]["add_prefix_space"] or cut[1]["use_regex"]):
             self.bare = Tokenizer(self.tokenizer.model)
             self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            self.cut, self.letters = regex.compile(_CUT), _byte_letters()
+            self.letters = _byte_letters()
             vocabulary = self.bare.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            latin = [chr(c) for c in range(256)]
+            self.lower = "".join(latin).lower().encode("latin-1")
+            self.kinds = bytes(_SPACE if c.isspace() else _LETTER if regex.match(r"\p{L}", c) else _NUMBER if regex.match(r"\p{N}", c) else _SIGN for c in latin)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        return self._ids(texts, self._by_words)
+
+    def _ids(self, texts: list[str], others: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of texts, or words: by their parts where these can be cut here, by ``others`` elsewhere."""
+        raw = [self._plain(t) for t in texts]
+        plain = iter(self._by_parts([r for r in raw if r is not None]))
+        rest = iter(others([t for t, r in zip(texts, raw, strict=True) if r is None]))
+        return [next(rest if r is None else plain) for r in raw]
+
+    def _plain(self, text: str) -> bytes | None:
+        """The text lower-cased, a byte a character, if it can be cut into parts here."""
+        if not self.bare or (raw := _latin(text)) is None:
+            return None
+        raw = raw.translate(self.lower)
+        return None if any(c in raw for c in self.odd) else raw
+
+    def _by_parts(self, raw: list[bytes]) -> list[bytes]:
+        import pyarrow as pa
+
+        if not raw:
+            return []
+        letters = b"\n".join([*raw, b"\n\n"])
+        kinds = np.frombuffer(letters.translate(self.kinds), np.uint8)
+        letters = np.frombuffer(letters, np.uint8)
+        solid = kinds != _SPACE
+        begins = solid.copy()  # where a part begins: at another kind than before, and at each number
+        begins[1:] &= (kinds[1:] != kinds[:-1]) | (kinds[1:] == _NUMBER)
+        at = np.flatnonzero(begins & (letters == ord("'")))  # a sign that begins with one of the endings is cut after it
+        one, two = letters[at + 1], letters[at + 2]
+        for size, ending in ((2, np.isin(one, list(b"stmd"))), (3, np.logical_or.reduce([(one == a) & (two == b) for a, b in (b"re", b"ve", b"ll")]))):
+            begins[at[ending] + 1] = False
+            begins[at[ending] + size] = solid[at[ending] + size]
+        stops = np.searchsorted(np.flatnonzero(begins), np.cumsum([len(r) + 1 for r in raw], dtype=np.int64))
+        bounds = np.append(np.flatnonzero(begins[solid]), np.count_nonzero(solid))
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(letters[solid])]).dictionary_encode()
+        if not len(parts):
+            return [b""] * len(raw)
+        _, places, data = parts.dictionary.buffers()
+        distinct = np.insert(np.frombuffer(data, np.uint8), np.frombuffer(places, np.int64)[1 : len(parts.dictionary)], ord("\n")).tobytes().decode("latin-1").split("\n")
+        ids = pa.array(self._known(distinct, self._learn_parts), pa.large_binary()).take(parts.indices)
+        _, places, data = ids.buffers()
+        places = np.frombuffer(places, np.int64)[np.r_[0, stops]].tolist()
+        return [data[a:b].to_pybytes() for a, b in zip(places, places[1:], strict=False)]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         split = [self._split(t) for t in texts]
-        found = [list(map(self.young.get, ws)) for ws in split]  # each word is looked up once; the few holes are filled later
-        holes = [[k for k, ids in enumerate(got) if ids is None] for got in found]
-        missing = {ws[k] for ws, at in zip(split, holes, strict=True) for k in at}
-        if len(self.young) + len(missing) > self.remembered:
+        found = iter(self._known([w for words in split for w in words], self._learn_words))
+        return [b"".join(islice(found, len(words))) for words in split]
+
+    def _known(self, words: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of each word or part from memory, those of new ones by ``learn``."""
+        found = list(map(self.young.get, words))  # each is looked up once; the few holes are filled later
+        holes = [k for k, ids in enumerate(found) if ids is None]
+        missing = {words[k] for k in holes}
+        fresh = {w: b for w in missing if (b := self.old.get(w)) is not None} if self.old else {}
+        new = list(missing.difference(fresh))
+        fresh.update(zip(new, learn(new), strict=True))
+        if len(self.young) + len(fresh) > self.remembered:
             self.old, self.young = self.young, {}
-        known = self.young
-        if self.old:
-            again = {w: b for w in missing if (b := self.old.get(w)) is not None}
-            known.update(again)
-            missing -= again.keys()
-        if missing:
-            self._learn(list(missing))
-        for ws, got, at in zip(split, found, holes, strict=True):
-            for k in at:
-                got[k] = known[ws[k]]
-        return [b"".join(got) for got in found]
-
-    def _learn(self, words: list[str]) -> None:
-        if self.bare:
-            rest = []
-            for at in range(0, len(words), 20_000):
-                some = words[at : at + 20_000]
-                whole = " ".join(some).lower()
-                if not _latin(whole) or any(c in whole for c in self.odd):
-                    plain = [w for w in some if _latin(w) and not any(c in w.lower() for c in self.odd)]
-                    rest += list(set(some).difference(plain))
-                    some = plain
-                rest += [] if self._learn_plain(some) else some
-            words = rest
-        ids = (e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
-        self.young.update((w, struct.pack(f"<{len(i)}I", *i)) for w, i in zip(words, ids, strict=True))
-
-    def _learn_plain(self, words: list[str]) -> bool:
-        """Whether the words could be learned from the bare model.
-
-        A part is cut off alone as it is in a word, so parts are remembered as words, and only new ones go to the model.
-        """
-        parts = [[w] if w.isalpha() else self.cut.findall(w) for w in map(str.lower, words)]
-        known = self.young
-        new = set().union(*parts).difference(known)
-        if self.old:
-            again = {p: b for p in new if (b := self.old.get(p)) is not None}
-            known.update(again)
-            new -= again.keys()
-        flat = " ".join(new).translate(self.letters | {32: " "})
-        ids = np.array(self.bare.encode_batch_fast([flat], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(new) or (len(ids) and ends[-1:] != len(ids)):  # a part without an own end
-            return False
-        stops = (4 * ends).tolist()
-        data = ids.tobytes()
-        known.update(zip(new, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
-        known.update((w, b"".join(map(known.__getitem__, p))) for w, p in zip(words, parts, strict=True))
-        return True
+        self.young.update(fresh)
+        for k in holes:
+            found[k] = fresh[words[k]]
+        return found
+
+    def _learn_words(self, words: list[str]) -> list[bytes]:
+        return self._ids(words, self._learn_whole)
+
+    def _learn_whole(self, words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts; a part alone has the same ids as in a word."""
+        out = []
+        for at in range(0, len(parts), 20_000):
+            some = parts[at : at + 20_000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some).translate(self.letters | {32: " "})], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(some) and stops[-1] == ids.nbytes:
+                data = ids.tobytes()
+                out += [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+            else:  # a part without an own end
+                out += self._learn_whole(some)
+        return out
 
     def _split(self, text: str) -> list[str]:
-        if _latin(text):  # lower-cased as the tokenizer does; other letters are left to it
-            lowered = text.lower()
-            text = text if any(c in lowered for c in self.special) else lowered
         if any(c in text for c in _SEPARATORS):
             return "".join("\n" if c.isspace() and c not in _SEPARATORS else c for c in text).split("\n")
         return text.split()
@@ -192,7 +225,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             texts, begin = batch.column(1).to_pylist(), 0
             while begin < len(texts):
                 stop, size = begin, 0
-                while stop < len(texts) and size < 1 << 21:
+                while stop < len(texts) and size < 1 << 22:
                     size += len(texts[stop] or "")
                     stop += 1
                 which, piece, start, length, crc = [], [], [], [], []
