@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,16 +41,23 @@ def weighted_interleave(records: DataFrame, weights: dict[str, float], seed: int
     exponential with the source's weight as rate. At every step the next record comes from a source
     with probability of its weight over the weights of all sources that still have records, and a
     source keeps its order. Sums run inside sorted partitions; one total per source and partition is
-    added from a table of that size, so no source is gathered in one task. A source without a weight
-    has the weight ``default``; without that the job fails.
+    added from a table of that size, so no source is gathered in one task. An arrival is the sum of
+    its gaps rounded once, however the rows are partitioned. A source without a weight has the weight
+    ``default``; without that the job fails.
     """
     weight = _weight(weights, default)
-    gaps = sorted_parts(records.withColumn("_gap", -F.log(_uniform(seed)) / weight), ["source", "pos"])
-    totals = gaps.groupBy("source", "_part").agg(F.sum("_gap").alias("_total"))
+    # a gap is a multiple of a power of two, whose sums are exact up to 2**53 of it, and a small rest: order and parts of the sums do not change them
+    least = min([*weights.values(), *([] if default is None else [default])])
+    unit = 2.0 ** (math.ceil(-math.log2(min(max(least, 1e-280), 1e280))) - 20)
+    high = F.floor(F.col("_gap") / unit).cast("double") * unit
+    parts = records.withColumn("_gap", -F.log(_uniform(seed)) / weight).withColumn("_high", high).withColumn("_low", F.col("_gap") - F.col("_high")).drop("_gap")
+    gaps = sorted_parts(parts, ["source", "pos"])
+    totals = gaps.groupBy("source", "_part").agg(F.sum("_high").alias("_highs"), F.sum("_low").alias("_lows"))
     before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("source", "_part", F.coalesce(F.sum("_total").over(before), F.lit(0.0)).alias("_base"))
+    base = totals.select("source", "_part", *(F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(c) for c in ("_highs", "_lows")))
     inside = Window.partitionBy("source", "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.join(F.broadcast(base), ["source", "_part"]).withColumn("arrival", F.col("_base") + F.sum("_gap").over(inside)).drop("_gap", "_part", "_place", "_base")
+    arrival = (F.col("_highs") + F.sum("_high").over(inside)) + (F.col("_lows") + F.sum("_low").over(inside))
+    return gaps.join(F.broadcast(base), ["source", "_part"]).withColumn("arrival", arrival).drop("_high", "_low", "_part", "_place", "_highs", "_lows")
 
 
 def reservoir_order(inputs: int, buffer: int, rng: np.random.Generator, slots: np.ndarray, next_id: int) -> tuple[np.ndarray, np.ndarray]:

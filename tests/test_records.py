@@ -1,5 +1,7 @@
 """The data sources and operators on Spark."""
 
+import hashlib
+import math
 import os
 import time
 
@@ -24,6 +26,17 @@ def scan(spark, path, **options):
     return spark.read.format("records").options(**options).load(str(path))
 
 
+def test_interleave_sums_do_not_depend_on_the_parts(spark):
+    """An arrival is its gaps' sum rounded once: two units in the last place for that and for the logarithms."""
+    weights = {"a": 0.25, "b": 3.0}
+    df = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.col("id").alias("pos"))
+    got = weighted_interleave(df, weights, 5).orderBy("source", "pos").toPandas()
+    for source, rows in got.groupby("source"):
+        draws = (int(hashlib.md5(f"5:{source}:{pos}".encode()).hexdigest()[:13], 16) for pos in rows["pos"])
+        want = np.cumsum([np.longdouble(-math.log((d + 0.5) / 2**52) / weights[source]) for d in draws])
+        assert (np.abs(rows["arrival"].to_numpy() - want) <= 2 * np.spacing(want.astype(float))).all()
+
+
 def test_round_robin_orders(spark, tmp_path):
     texts = [f"r{i:02}" for i in range(11)]
     write_round_robin(values(spark, texts), str(tmp_path / "d"), 3, ["i"])
