@@ -126,8 +126,14 @@ def located(paths: list[str]) -> list[tuple[str, int]]:
     return out
 
 
+#: Bytes that a task reads: a share of all, so that tasks are about so many, but no more than are hashed together.
+TASKS, TASK_BYTES = 32, layout.HASH_BYTES
+
+
 @dataclass
-class Split(InputPartition):
+class Split:
+    """A run of whole splits of a shard; each is read by itself."""
+
     shard: str
     order: int
     start: int
@@ -135,12 +141,38 @@ class Split(InputPartition):
     size: int
 
 
+@dataclass
+class Task(InputPartition):
+    splits: list[Split]
+
+
+def tasks(found: list[tuple[str, int]], split: int) -> list[Task]:
+    """The splits of shards, in order, dealt to tasks: one that is large is a task, small ones go together.
+
+    A task costs more than a small split does, and the chunks that one task hashes together keep the lanes wide.
+    """
+    share = min(TASK_BYTES, sum(size for _, size in found) // TASKS)
+    out: list[Task] = []
+    room = 0
+    for k, (path, size) in enumerate(found):
+        at = 0
+        while at == 0 or at < size:
+            if not out or room < min(split, size - at):
+                out.append(Task([]))
+                room = share
+            stop = min(size, at + max(room // split, 1) * split)
+            out[-1].splits.append(Split(path, k, at, stop, size))
+            room -= stop - at
+            at = max(stop, 1)
+    return out
+
+
 class _Reader(DataSourceReader):
     def __init__(self, settings: Settings) -> None:
         self.s = settings
 
-    def partitions(self) -> list[Split]:
-        return [Split(p, k, at, min(size, at + self.s.split), size) for k, (p, size) in enumerate(self.s.found()) for at in range(0, max(size, 1), self.s.split)]
+    def partitions(self) -> list[Task]:
+        return tasks(self.s.found(), self.s.split)
 
     #: Read-ahead, in bytes.
     window = 8 << 20
@@ -149,21 +181,28 @@ class _Reader(DataSourceReader):
         system, inner = self.s.system(split.shard)
         return layout.FileSource(system.open_input_file(inner), split.size, self.window)
 
-    def read(self, split: Split) -> Iterator:
+    def ranges(self, task: Task) -> Iterator[tuple[Split, layout.FileSource, int, int]]:
+        for run in task.splits:
+            source = self.open(run)
+            with source.file:
+                for at in range(run.start, max(run.stop, run.start + 1), self.s.split):
+                    yield run, source, at, min(run.stop, at + self.s.split)
+
+    def read(self, task: Task) -> Iterator:
         try:
-            yield from self.rows(self.open(split), split)
+            yield from self.rows(task)
         except RecordError as bad:
-            raise type(bad)(f"shard {split.shard}: {bad}") from bad
+            raise type(bad)(f"shard {bad.range.shard}: {bad}") from bad
 
-    def rows(self, source, split: Split) -> Iterator:
+    def rows(self, task: Task) -> Iterator:
         raise NotImplementedError
 
 
 class RecordsReader(_Reader):
-    def rows(self, source, split: Split) -> Iterator:
+    def rows(self, task: Task) -> Iterator:
         import pyarrow as pa
 
-        for found in layout.read_records(source, split.start, split.stop, self.s.block, self.s.corruption == "recover"):
+        for split, found in layout.read_ranges(self.ranges(task), self.s.block, self.s.corruption == "recover"):
             if isinstance(found, layout.Skip):
                 continue
             chunk, offsets, values = found
@@ -186,17 +225,22 @@ class ChunksReader(_Reader):
 
     window = layout.HEADER_WINDOW
 
-    def rows(self, source, split: Split) -> Iterator:
-        for c in layout.read_chunks(source, split.start, split.stop, self.s.block, self.s.corruption == "recover", data=False):
-            if isinstance(c, layout.Chunk):
-                yield split.shard, split.order, c.begin, c.end, chr(c.kind), c.records, c.data_size, c.decoded
+    def rows(self, task: Task) -> Iterator:
+        for split, source, start, stop in self.ranges(task):
+            try:
+                for c in layout.read_chunks(source, start, stop, self.s.block, self.s.corruption == "recover", data=False):
+                    if isinstance(c, layout.Chunk):
+                        yield split.shard, split.order, c.begin, c.end, chr(c.kind), c.records, c.data_size, c.decoded
+            except RecordError as bad:
+                bad.range = split
+                raise
 
 
 class SkipsReader(_Reader):
     """One row per place that a recovering scan skips."""
 
-    def rows(self, source, split: Split) -> Iterator:
-        for c in layout.read_records(source, split.start, split.stop, self.s.block, True):
+    def rows(self, task: Task) -> Iterator:
+        for split, c in layout.read_ranges(self.ranges(task), self.s.block, True):
             if isinstance(c, layout.Skip):
                 yield split.shard, split.order, c.at, c.reason
 
@@ -206,13 +250,14 @@ class BlocksReader(_Reader):
 
     window = layout.HEADER_WINDOW
 
-    def rows(self, source, split: Split) -> Iterator:
-        for at in range(split.start, split.stop, self.s.block):
-            try:
-                prev, after, fault = *layout.block_header(source, at, self.s.block), None
-            except RecordError as bad:
-                prev, after, fault = None, None, str(bad)
-            yield split.shard, split.order, at, prev, after, fault
+    def rows(self, task: Task) -> Iterator:
+        for split, source, start, stop in self.ranges(task):
+            for at in range(start, stop, self.s.block):
+                try:
+                    prev, after, fault = *layout.block_header(source, at, self.s.block), None
+                except RecordError as bad:
+                    prev, after, fault = None, None, str(bad)
+                yield split.shard, split.order, at, prev, after, fault
 
 
 class RecordsStream(DataSourceStreamReader):
@@ -249,12 +294,12 @@ class RecordsStream(DataSourceStreamReader):
         n = self._number(name)
         return name in offset["names"] if n < 0 else any(a <= n <= b for a, b in offset["ranges"])
 
-    def partitions(self, start: dict, end: dict) -> list[Split]:
+    def partitions(self, start: dict, end: dict) -> list[Task]:
         new = [f for name, f in self._found().items() if self._within(name, end) and not self._within(name, start)]
-        return [Split(p, k, at, min(size, at + self.s.split), size) for k, (p, size) in enumerate(new) for at in range(0, max(size, 1), self.s.split)]
+        return tasks(new, self.s.split)
 
-    def read(self, split: Split) -> Iterator:
-        yield from RecordsReader(self.s).read(split)
+    def read(self, task: Task) -> Iterator:
+        yield from RecordsReader(self.s).read(task)
 
 
 @dataclass

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincart.errors import InvalidOption
-from graincart.sources.records import RecordsReader, Settings, Split
+from graincart.sources.records import RecordsReader, Settings, Split, Task
 
 _SCHEMA = "epoch long, rank long, shard_id string, record_index long, value binary"
 
@@ -44,7 +44,7 @@ def read_draws(draws: DataFrame, settings: Settings, seed: int) -> DataFrame:
                     orders = {epoch: permutation(names, seed, epoch)}
                 path, size = found[orders[epoch][rank]]
                 index = 0
-                for part in reader.read(Split(path, rank, 0, size, size)):
+                for part in reader.read(Task([Split(path, rank, 0, size, size)])):
                     n = part.num_rows
                     columns = [pa.array([epoch] * n, pa.int64()), pa.array([rank] * n, pa.int64()), pa.array([path] * n), pa.array(np.arange(index, index + n)), part.column(0)]
                     yield pa.RecordBatch.from_arrays(columns, ["epoch", "rank", "shard_id", "record_index", "value"])

@@ -1,6 +1,7 @@
 """The data sources and operators on Spark."""
 
 import hashlib
+import json
 import math
 import os
 import time
@@ -256,3 +257,22 @@ def test_epochs_are_permutations(spark):
     by = [[r.shard_id for r in rows if r.epoch == e] for e in range(3)]
     assert all(sorted(b) == sorted(by[0]) for b in by) and by[0] != by[1]
     assert rows == random_epochs(shards, 3, 5).orderBy("epoch", "rank").collect()
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    """Splits and shards are read in tasks of a bounded number, with the same rows; damage is still told of its shard."""
+    texts, path = [f"r{i:05}" for i in range(8000)], str(tmp_path / "d")
+    write_round_robin(values(spark, texts), path, 80, ["i"], chunkSize="100", blockSize="128")
+    options = {"blockSize": "128", "splitBytes": "128"}
+    read = scan(spark, path, **options)
+    assert 8 <= read.rdd.getNumPartitions() <= 64
+    assert sorted(bytes(r.value).decode() for r in read.collect()) == texts
+    names = [f"{path}/shard_{k}" for k in range(80)]
+    ordered = with_record_index(spark, path, shardPaths=json.dumps(names), **options)
+    assert [bytes(r.value).decode() for r in reading_order(ordered, "round_robin").orderBy("position").collect()] == texts
+    data = bytearray(open(names[7], "rb").read())
+    data[400] ^= 255
+    open(names[7], "wb").write(data)
+    with pytest.raises(Exception, match="shard_7:"):
+        scan(spark, path, **options).count()
+    assert 7900 <= scan(spark, path, corruption="recover", **options).count() < 8000
