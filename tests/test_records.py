@@ -14,7 +14,7 @@ from graincart.errors import InvalidOption, NoShards
 from graincart.operators.ordering import admission, reading_order, with_record_index, with_row_index
 from graincart.operators.sampling import reservoir_order, reservoir_shuffle, sources, weighted_interleave
 from graincart.operators.sharding import random_epochs, write_round_robin
-from graincart.sources.records import custom, register
+from graincart.sources.records import RecordsStream, Settings, custom, register, shards
 from graincart.streaming.repeat import random_read, random_stream
 
 
@@ -276,3 +276,14 @@ def test_small_splits_share_tasks(spark, tmp_path):
     with pytest.raises(Exception, match="shard_7:"):
         scan(spark, path, **options).count()
     assert 7900 <= scan(spark, path, corruption="recover", **options).count() < 8000
+
+
+def test_a_stream_reads_small_shards_together(spark, tmp_path):
+    """Tasks of a micro-batch are of a bounded number, and hold every byte of every new shard once."""
+    path = str(tmp_path / "d")
+    write_round_robin(values(spark, [f"r{i}" for i in range(600)]), path, 150, ["i"])
+    stream = RecordsStream(Settings({"path": path}))
+    dealt = stream.partitions(stream.initialOffset(), stream.latestOffset())
+    assert len(dealt) <= 64
+    assert sorted((s.shard, s.start, s.stop) for t in dealt for s in t.splits) == sorted((p, 0, size) for p, size in shards(path))
+    assert sorted(bytes(v).decode() for t in dealt for part in stream.read(t) for v in part.column(0).to_pylist()) == sorted(f"r{i}" for i in range(600))
